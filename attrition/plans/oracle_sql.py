@@ -138,8 +138,8 @@ _CTES = {
 }
 
 
-def with_ctes(body: str, *names: str) -> str:
-    """``with <needed CTEs in dependency order> <body>``."""
+def with_ctes(body: str, *names: str, extra: list[str] = ()) -> str:
+    """``with <needed CTEs in dependency order>[, extra CTEs] <body>``."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -151,9 +151,10 @@ def with_ctes(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    if not order:
+    ctes = [_CTES[n][0] for n in order] + list(extra)
+    if not ctes:
         return body
-    return "with " + ",\n".join(_CTES[n][0] for n in order) + "\n" + body
+    return "with " + ",\n".join(ctes) + "\n" + body
 
 
 def r4(expr: str, digits: int = 4) -> str:

@@ -34,7 +34,7 @@ def query(name: str, ops: str, sql: str | None = None):
 
 
 def registered() -> dict[str, Query]:
-    from . import catalogue  # noqa: F401  (registers on import)
+    from . import catalogue, catalogue_explore  # noqa: F401  (registers on import)
 
     return dict(_REGISTRY)
 
