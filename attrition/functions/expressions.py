@@ -16,14 +16,31 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def q(name: str) -> str:
+    """Back-quoted column name for SQL expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql(text: str, alias: str | None = None) -> Column:
+    """A column from SQL expression text: one parse in the JVM instead of many small calls."""
+    c = F.expr(text)
+    return c.alias(alias) if alias else c
+
+
 def safe_ratio(num: str | Column, den: str | Column, fill: float | None = 0.0) -> Column:
     """``num / den``; x/0, 0/0, null/x and x/null become ``fill`` (null if ``fill`` is None)."""
     r = F.try_divide(col(num).cast("double"), col(den).cast("double"))
     return r if fill is None else F.coalesce(r, F.lit(float(fill)))
 
 
+def null_if_nan_sql(expr: str) -> str:
+    return f"CASE WHEN isnan({expr}) THEN NULL ELSE {expr} END"
+
+
 def null_if_nan(c: str | Column) -> Column:
     """NaN -> null, so that ``avg`` skips it the way a pandas mean does."""
+    if isinstance(c, str):
+        return sql(null_if_nan_sql(f"CAST({q(c)} AS DOUBLE)"))
     c = col(c)
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
@@ -33,8 +50,16 @@ def pos_inf_to_null(c: str | Column) -> Column:
     return F.when(c == F.lit(math.inf), F.lit(None).cast("double")).otherwise(c)
 
 
+def clean_number_sql(expr: str, fill: float = 0.0) -> str:
+    x = f"CAST({expr} AS DOUBLE)"
+    return (f"coalesce(CASE WHEN isnan({x}) OR {x} = double('infinity') THEN NULL ELSE {x} END, "
+            f"CAST({float(fill)!r} AS DOUBLE))")
+
+
 def clean_number(c: str | Column, fill: float = 0.0) -> Column:
     """+inf -> NaN -> ``fill`` and null -> ``fill`` (the exploratory cleanup)."""
+    if isinstance(c, str):
+        return sql(clean_number_sql(q(c), fill))
     c = col(c).cast("double")
     return F.coalesce(null_if_nan(pos_inf_to_null(c)), F.lit(float(fill)))
 
@@ -45,6 +70,9 @@ def tie_round(c: str | Column, digits: int = 4) -> Column:
     ``floor(x * 10^d + 0.5001) / 10^d`` never lands on an exact half for
     decimal-looking data, so two engines whose last bits differ still agree.
     """
+    if isinstance(c, str):
+        scale = 10 ** digits
+        return sql(f"floor({q(c)} * {scale}D + 0.5001D) / {scale}D")
     scale = float(10 ** digits)
     return F.floor(col(c) * F.lit(scale) + F.lit(0.5001)) / F.lit(scale)
 

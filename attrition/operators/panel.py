@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clean_number, null_if_nan
+from ..functions.expressions import clean_number_sql, null_if_nan_sql, q
 from ..schema import EXPLORATORY_LABEL, KEY, KEY_COLUMNS, LABEL, MONTH, MONTHS_PRESENT
 
 
@@ -22,7 +22,7 @@ def account_means(panel: DataFrame, key: str = KEY, features: list[str] | None =
     never averaged, so nothing has to be dropped or renamed afterwards.
     """
     feats = features if features is not None else feature_columns(panel)
-    return panel.groupBy(key).agg(*[F.avg(c).alias(c) for c in feats])
+    return panel.groupBy(key).agg(*[F.expr(f"avg({q(c)}) AS {q(c)}") for c in feats])
 
 
 def join_label(accounts: DataFrame, labels: DataFrame, key: str = KEY, how: str = "inner") -> DataFrame:
@@ -51,18 +51,15 @@ def account_months_means(panel: DataFrame, labels: DataFrame | None = None, key:
     data = panel.where(F.col(key).isNotNull())
     if labels is not None:
         data = data.join(labels.select(key, F.col(label).alias("_label")), key, "left")
-        mean_label = [F.avg(F.col("_label").cast("double")).alias("_label")]
-    else:
-        mean_label = []
-    agg = data.groupBy(key).agg(
-        F.count(MONTH).alias(MONTHS_PRESENT),
-        *[F.avg(null_if_nan(F.col(c).cast("double"))).alias(c) for c in feats],
-        *mean_label)
-    cleaned: list[Column] = [F.col(key), F.col(MONTHS_PRESENT)]
-    cleaned += [clean_number(c).alias(c) for c in feats]
+    aggs = [f"count({q(MONTH)}) AS {q(MONTHS_PRESENT)}"]
+    aggs += [f"avg({null_if_nan_sql(f'CAST({q(c)} AS DOUBLE)')}) AS {q(c)}" for c in feats]
     if labels is not None:
-        cleaned.append(clean_number("_label").alias(EXPLORATORY_LABEL))
-    return agg.select(*cleaned)
+        aggs.append("avg(CAST(_label AS DOUBLE)) AS _label")
+    agg = data.groupBy(key).agg(*[F.expr(a) for a in aggs])
+    cleaned = [q(key), q(MONTHS_PRESENT)] + [f"{clean_number_sql(q(c))} AS {q(c)}" for c in feats]
+    if labels is not None:
+        cleaned.append(f"{clean_number_sql('_label')} AS {q(EXPLORATORY_LABEL)}")
+    return agg.selectExpr(*cleaned)
 
 
 def distinct_keys(panel: DataFrame, key: str = KEY) -> DataFrame:

@@ -85,7 +85,7 @@ def numeric_stats(df: DataFrame, cols: list[str], exact: bool = False, accuracy:
     stats = long.groupBy("column").agg(*aggs)
     if exact:
         present = long.where(ok)
-        distinct = present.groupBy("column", "value").agg().groupBy("column").agg(
+        distinct = present.select("column", "value").distinct().groupBy("column").agg(
             F.count(F.lit(1)).alias("distinct_values"))
         pcts = exact_quantiles(present, ["column"], "value", PERCENTILES, method="discrete")
         stats = stats.join(distinct, "column", "left").join(pcts, "column", "left")
@@ -109,7 +109,7 @@ def categorical_stats(df: DataFrame, cols: list[str], exact: bool = False, digit
         aggs.append(F.approx_count_distinct(F.when(ok, v)).alias("distinct_values"))
     stats = long.groupBy("column").agg(*aggs)
     if exact:
-        distinct = long.where(ok).groupBy("column", "value").agg().groupBy("column").agg(
+        distinct = long.where(ok).select("column", "value").distinct().groupBy("column").agg(
             F.count(F.lit(1)).alias("distinct_values"))
         stats = stats.join(distinct, "column", "left")
     return stats.select(

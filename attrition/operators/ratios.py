@@ -10,9 +10,11 @@ agrees with the IEEE rules (x / inf = 0, x / NaN -> 0). A negative over zero
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import q
+
 # Fixed values: (output, numerator, denominator) in the notebook's order. The
 # twelfth rule's output is overwritten by the sixteenth; it is kept here under
 # the separate name "avg_amountpersms" because rule 13 reads its first meaning.
@@ -46,20 +48,20 @@ INTERNAL = frozenset({"avg_amountpersms"})
 RATIO_NAMES = tuple(name for name, _, _ in RATIO_RULES if name not in INTERNAL)
 
 
-def ratio_expressions(rules=RATIO_RULES) -> dict[str, Column]:
-    """Uncleaned ratio expressions, with earlier ratios substituted inline (null on x/0)."""
-    raw: dict[str, Column] = {}
+def ratio_expressions(rules=RATIO_RULES) -> dict[str, str]:
+    """Uncleaned ratio expressions as SQL text, earlier ratios substituted inline (null on x/0)."""
+    raw: dict[str, str] = {}
     for name, num, den in rules:
-        n = raw.get(num, F.col(num).cast("double"))
-        d = raw.get(den, F.col(den).cast("double"))
-        raw[name] = F.try_divide(n, d)
+        n = raw.get(num, f"CAST({q(num)} AS DOUBLE)")
+        d = raw.get(den, f"CAST({q(den)} AS DOUBLE)")
+        raw[name] = f"try_divide({n}, {d})"
     return raw
 
 
 def add_ratio_features(df: DataFrame, rules=RATIO_RULES, keep_internal: bool = False) -> DataFrame:
     """Append the ratio columns (x/0, 0/0, x/null -> 0) in a single projection."""
     raw = ratio_expressions(rules)
-    out = {name: F.coalesce(e, F.lit(0.0)) for name, e in raw.items()
+    out = {name: F.expr(f"coalesce({e}, 0D)") for name, e in raw.items()
            if keep_internal or name not in INTERNAL}
     return df.withColumns(out)
 

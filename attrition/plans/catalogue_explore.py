@@ -35,8 +35,10 @@ def _ratio_sql() -> dict[str, str]:
 def _unpivot_sql(source: str, cols: list[str], ids: list[str] = (), include_nulls: bool = False,
                  cast: str = "double") -> str:
     sel = ", ".join([*ids, *[f"cast({c} as {cast}) as {c}" for c in cols]])
-    inc = " include nulls" if include_nulls else ""
-    return (f"(unpivot{inc} (select {sel} from {source}) on {', '.join(cols)} "
+    if include_nulls:
+        return (f"(select * from (select {sel} from {source}) "
+                f"unpivot include nulls (value for {_q('column')} in ({', '.join(cols)})))")
+    return (f"(unpivot (select {sel} from {source}) on {', '.join(cols)} "
             f"into name {_q('column')} value value)")
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from ..functions.expressions import tie_round
+from ..functions.expressions import q
 from ..operators import panel as P
 from ..sources import fixtures, tables
 
@@ -20,8 +19,14 @@ class Inputs:
         self.spark = spark
         self.data_dir = data_dir
 
+    _tables: dict = {}
+
     def table(self, name: str) -> DataFrame:
-        return tables.read_table(self.spark, self.data_dir, name)
+        """The Parquet table (lazy); its footer is read once per session and directory."""
+        key = (id(self.spark), self.data_dir, name)
+        if key not in Inputs._tables:
+            Inputs._tables[key] = tables.read_table(self.spark, self.data_dir, name)
+        return Inputs._tables[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in tables.TABLE_NAMES:
@@ -56,10 +61,12 @@ class Inputs:
 
 def finish(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every floating column with the tie-safe rule so two engines compare equal."""
+    scale = 10 ** digits
     out = []
     for f in df.schema.fields:
+        name = q(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            out.append(tie_round(F.col(f.name).cast("double"), digits).alias(f.name))
+            out.append(f"floor(CAST({name} AS DOUBLE) * {scale}D + 0.5001D) / {scale}D AS {name}")
         else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+            out.append(name)
+    return df.selectExpr(*out)

@@ -30,38 +30,75 @@ def _cutoff(ts: str) -> Column:
     return F.lit(ts).cast("timestamp_ntz")
 
 
-def _sum_if(x: Column, cond: Column) -> Column:
-    return F.sum(F.when(cond, x))
+def _aggs(pairs: list[tuple[str, str]]) -> list[Column]:
+    return [F.expr(f"{expr} AS {name}") for name, expr in pairs]
 
 
-def _count_if(cond: Column) -> Column:
-    return F.count_if(cond)
+# (kind predicate over line items) for each call type
+_ON, _OFF, _AB = "l_returnflag = 'N'", "l_returnflag = 'A'", "l_returnflag = 'R'"
+_SMS, _IN, _DATA = "l_linestatus = 'F'", "l_linestatus = 'O'", "l_quantity >= 45"
+_SMS_AMOUNT = "l_extendedprice * l_tax"
 
 
 def order_line_summary(lineitem: DataFrame) -> DataFrame:
     """Per order: counts, sums and maxima of its line items by call type (one row per order)."""
-    price, qty, tax = F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_tax")
-    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    sms_amount = price * tax
-    is_sms, is_in = status == F.lit("F"), status == F.lit("O")
-    on, off, ab = flag == F.lit("N"), flag == F.lit("A"), flag == F.lit("R")
-    data_session = qty >= F.lit(45)
-    return lineitem.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n_calls"),
-        F.sum(price).alias("spend"), F.sum(qty).alias("dur"),
-        F.max(price).alias("spend_max"), F.max(qty).alias("dur_max"),
-        _count_if(on).alias("n_on"), _sum_if(price, on).alias("spend_on"), _sum_if(qty, on).alias("dur_on"),
-        _count_if(off).alias("n_off"), _sum_if(price, off).alias("spend_off"), _sum_if(qty, off).alias("dur_off"),
-        _count_if(ab).alias("n_ab"), _sum_if(price, ab).alias("spend_ab"), _sum_if(qty, ab).alias("dur_ab"),
-        _count_if(is_sms).alias("n_sms"), _sum_if(sms_amount, is_sms).alias("sms_spend"),
-        _count_if(is_sms & on).alias("n_sms_on"), _sum_if(sms_amount, is_sms & on).alias("sms_spend_on"),
-        _count_if(is_sms & off).alias("n_sms_off"), _sum_if(sms_amount, is_sms & off).alias("sms_spend_off"),
-        _count_if(is_sms & ab).alias("n_sms_ab"), _sum_if(sms_amount, is_sms & ab).alias("sms_spend_ab"),
-        _count_if(is_in).alias("n_in"), _sum_if(sms_amount, is_in).alias("in_spend"),
-        _count_if(is_in & ab).alias("n_in_ab"), _sum_if(sms_amount, is_in & ab).alias("in_spend_ab"),
-        _count_if(data_session).alias("n_data"), _sum_if(qty, data_session).alias("data_usage"),
-        _sum_if(price, data_session).alias("data_spend"),
-    )
+    def cnt(cond: str) -> str:
+        return f"count_if({cond})"
+
+    def ssum(x: str, cond: str) -> str:
+        return f"sum(CASE WHEN {cond} THEN {x} END)"
+
+    pairs = [
+        ("n_calls", "count(1)"), ("spend", "sum(l_extendedprice)"), ("dur", "sum(l_quantity)"),
+        ("spend_max", "max(l_extendedprice)"), ("dur_max", "max(l_quantity)"),
+    ]
+    for tag, cond in (("on", _ON), ("off", _OFF), ("ab", _AB)):
+        pairs += [(f"n_{tag}", cnt(cond)), (f"spend_{tag}", ssum("l_extendedprice", cond)),
+                  (f"dur_{tag}", ssum("l_quantity", cond))]
+    pairs += [("n_sms", cnt(_SMS)), ("sms_spend", ssum(_SMS_AMOUNT, _SMS))]
+    for tag, cond in (("on", _ON), ("off", _OFF), ("ab", _AB)):
+        both = f"{_SMS} AND {cond}"
+        pairs += [(f"n_sms_{tag}", cnt(both)), (f"sms_spend_{tag}", ssum(_SMS_AMOUNT, both))]
+    pairs += [("n_in", cnt(_IN)), ("in_spend", ssum(_SMS_AMOUNT, _IN)),
+              ("n_in_ab", cnt(f"{_IN} AND {_AB}")), ("in_spend_ab", ssum(_SMS_AMOUNT, f"{_IN} AND {_AB}")),
+              ("n_data", cnt(_DATA)), ("data_usage", ssum("l_quantity", _DATA)),
+              ("data_spend", ssum("l_extendedprice", _DATA))]
+    return lineitem.groupBy("l_orderkey").agg(*_aggs(pairs))
+
+
+# monthly feature -> how it combines the per-order summaries
+_MONTHLY = [
+    ("reloads_inactive_days", "CAST(day(last_day(max(d))) - day(max(d)) AS DOUBLE)"),
+    ("reloads_count", "CAST(count(1) AS DOUBLE)"),
+    ("reloads_sum", "sum(o_totalprice)"),
+    ("last_100_reloads_count", "CAST(count_if(o_orderstatus = 'P') AS DOUBLE)"),
+    ("last_100_reloads_sum", "coalesce(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 0D)"),
+    ("calls_outgoing_count", "CAST(sum(n_calls) AS DOUBLE)"),
+    ("calls_outgoing_spendings", "sum(spend)"),
+    ("calls_outgoing_duration", "sum(dur)"),
+    ("calls_outgoing_spendings_max", "max(spend_max)"),
+    ("calls_outgoing_duration_max", "max(dur_max)"),
+] + [
+    row for tag, name in (("on", "onnet"), ("off", "offnet"), ("ab", "abroad")) for row in (
+        (f"calls_outgoing_to_{name}_count", f"CAST(sum(n_{tag}) AS DOUBLE)"),
+        (f"calls_outgoing_to_{name}_spendings", f"sum(spend_{tag})"),
+        (f"calls_outgoing_to_{name}_duration", f"sum(dur_{tag})"))
+] + [
+    ("sms_outgoing_count", "CAST(sum(n_sms) AS DOUBLE)"),
+    ("sms_outgoing_spendings", "sum(sms_spend)"),
+] + [
+    row for tag, name in (("on", "onnet"), ("off", "offnet"), ("ab", "abroad")) for row in (
+        (f"sms_outgoing_to_{name}_count", f"CAST(sum(n_sms_{tag}) AS DOUBLE)"),
+        (f"sms_outgoing_to_{name}_spendings", f"sum(sms_spend_{tag})"))
+] + [
+    ("sms_incoming_count", "CAST(sum(n_in) AS DOUBLE)"),
+    ("sms_incoming_spendings", "sum(in_spend)"),
+    ("sms_incoming_from_abroad_count", "CAST(sum(n_in_ab) AS DOUBLE)"),
+    ("sms_incoming_from_abroad_spendings", "sum(in_spend_ab)"),
+    ("gprs_session_count", "CAST(sum(n_data) AS DOUBLE)"),
+    ("gprs_usage", "sum(data_usage)"),
+    ("gprs_spendings", "sum(data_spend)"),
+]
 
 
 def usage_panel(orders: DataFrame, lineitem: DataFrame, customer: DataFrame,
@@ -71,73 +108,29 @@ def usage_panel(orders: DataFrame, lineitem: DataFrame, customer: DataFrame,
     Months without line items keep null call/SMS/data measures (a left join),
     exactly like a month with reloads but no usage.
     """
-    o = orders.where(F.col("o_orderdate") < _cutoff(cutoff)).select(
-        "o_orderkey", F.col("o_custkey").alias(KEY),
-        F.year("o_orderdate").cast("bigint").alias("year"),
-        F.month("o_orderdate").cast("bigint").alias("month"),
-        F.col("o_orderdate").cast("date").alias("d"), "o_totalprice", "o_orderstatus")
+    o = orders.where(F.col("o_orderdate") < _cutoff(cutoff)).selectExpr(
+        "o_orderkey", f"o_custkey AS {KEY}",
+        "CAST(year(o_orderdate) AS BIGINT) AS year", "CAST(month(o_orderdate) AS BIGINT) AS month",
+        "CAST(o_orderdate AS DATE) AS d", "o_totalprice", "o_orderstatus")
     lines = order_line_summary(lineitem)
     joined = o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left")
-
-    def dbl(c: Column) -> Column:
-        return c.cast("double")
-
-    paid = F.col("o_orderstatus") == F.lit("P")
-    last = F.max("d")
-    monthly = joined.groupBy(KEY, "year", "month").agg(
-        dbl(F.day(F.last_day(last)) - F.day(last)).alias("reloads_inactive_days"),
-        dbl(F.count(F.lit(1))).alias("reloads_count"),
-        F.sum("o_totalprice").alias("reloads_sum"),
-        dbl(F.count_if(paid)).alias("last_100_reloads_count"),
-        F.coalesce(_sum_if(F.col("o_totalprice"), paid), F.lit(0.0)).alias("last_100_reloads_sum"),
-        dbl(F.sum("n_calls")).alias("calls_outgoing_count"),
-        F.sum("spend").alias("calls_outgoing_spendings"),
-        F.sum("dur").alias("calls_outgoing_duration"),
-        F.max("spend_max").alias("calls_outgoing_spendings_max"),
-        F.max("dur_max").alias("calls_outgoing_duration_max"),
-        dbl(F.sum("n_on")).alias("calls_outgoing_to_onnet_count"),
-        F.sum("spend_on").alias("calls_outgoing_to_onnet_spendings"),
-        F.sum("dur_on").alias("calls_outgoing_to_onnet_duration"),
-        dbl(F.sum("n_off")).alias("calls_outgoing_to_offnet_count"),
-        F.sum("spend_off").alias("calls_outgoing_to_offnet_spendings"),
-        F.sum("dur_off").alias("calls_outgoing_to_offnet_duration"),
-        dbl(F.sum("n_ab")).alias("calls_outgoing_to_abroad_count"),
-        F.sum("spend_ab").alias("calls_outgoing_to_abroad_spendings"),
-        F.sum("dur_ab").alias("calls_outgoing_to_abroad_duration"),
-        dbl(F.sum("n_sms")).alias("sms_outgoing_count"),
-        F.sum("sms_spend").alias("sms_outgoing_spendings"),
-        dbl(F.sum("n_sms_on")).alias("sms_outgoing_to_onnet_count"),
-        F.sum("sms_spend_on").alias("sms_outgoing_to_onnet_spendings"),
-        dbl(F.sum("n_sms_off")).alias("sms_outgoing_to_offnet_count"),
-        F.sum("sms_spend_off").alias("sms_outgoing_to_offnet_spendings"),
-        dbl(F.sum("n_sms_ab")).alias("sms_outgoing_to_abroad_count"),
-        F.sum("sms_spend_ab").alias("sms_outgoing_to_abroad_spendings"),
-        dbl(F.sum("n_in")).alias("sms_incoming_count"),
-        F.sum("in_spend").alias("sms_incoming_spendings"),
-        dbl(F.sum("n_in_ab")).alias("sms_incoming_from_abroad_count"),
-        F.sum("in_spend_ab").alias("sms_incoming_from_abroad_spendings"),
-        dbl(F.sum("n_data")).alias("gprs_session_count"),
-        F.sum("data_usage").alias("gprs_usage"),
-        F.sum("data_spend").alias("gprs_spendings"),
-    )
-    cu = customer.select(F.col("c_custkey").alias(KEY),
-                         F.col("c_acctbal").alias("user_account_balance_last"))
+    monthly = joined.groupBy(KEY, "year", "month").agg(*_aggs(_MONTHLY))
+    cu = customer.selectExpr(f"c_custkey AS {KEY}", "c_acctbal AS user_account_balance_last")
     panel = monthly.join(cu, KEY, "inner")
 
-    def flag(c: str) -> Column:
-        return F.when(F.col(c) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-
-    return panel.select(
-        KEY, "year", "month",
-        "reloads_inactive_days", "reloads_count", "reloads_sum",
-        "last_100_reloads_count", "last_100_reloads_sum", "user_account_balance_last",
-        *[c for c in monthly.columns if c.startswith(("calls_", "sms_", "gprs_"))],
-        flag("calls_outgoing_count").alias("user_has_outgoing_calls"),
-        flag("sms_outgoing_count").alias("user_has_outgoing_sms"),
-        flag("gprs_session_count").alias("user_use_gprs"),
-        flag("last_100_reloads_count").alias("user_does_reload"),
-        ((F.col("year") - F.lit(1995)) * F.lit(12) + F.col("month")).cast("double").alias("user_lifetime"),
-    )
+    def flag(c: str, name: str) -> str:
+        return f"CASE WHEN {c} > 0 THEN 1D ELSE 0D END AS {name}"
+
+    first = ["reloads_inactive_days", "reloads_count", "reloads_sum", "last_100_reloads_count",
+             "last_100_reloads_sum", "user_account_balance_last"]
+    return panel.selectExpr(
+        KEY, "year", "month", *first,
+        *[name for name, _ in _MONTHLY if name not in first],
+        flag("calls_outgoing_count", "user_has_outgoing_calls"),
+        flag("sms_outgoing_count", "user_has_outgoing_sms"),
+        flag("gprs_session_count", "user_use_gprs"),
+        flag("last_100_reloads_count", "user_does_reload"),
+        "CAST((year - 1995) * 12 + month AS DOUBLE) AS user_lifetime")
 
 
 def account_label(orders: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
