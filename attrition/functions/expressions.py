@@ -21,6 +21,11 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def dlit(x: float) -> str:
+    """SQL text of an exact double literal (the shortest repr round-trips through a string cast)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
 def sql(text: str, alias: str | None = None) -> Column:
     """A column from SQL expression text: one parse in the JVM instead of many small calls."""
     c = F.expr(text)

@@ -29,7 +29,7 @@ def q_usage_panel(t: Inputs):
 @query("account_label", "fixture derivation: one aggregate over orders",
        sql=with_ctes("select user_account_id, churn from account_label", "account_label"))
 def q_account_label(t: Inputs):
-    return t.labels
+    return t.churn_labels
 
 
 @query("account_means", "A1 P2 P3",

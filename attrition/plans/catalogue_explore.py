@@ -68,7 +68,7 @@ _CLEAN_LEVELS = {"o_orderpriority": ["1-URGENT", "2-HIGH"]}
            "where o_totalprice != 0 and o_orderstatus = 'F' and o_orderpriority in ('1-URGENT', '2-HIGH')",
            "account_label"))
 def q_clean_select(t: Inputs):
-    lab = t.labels.withColumnRenamed(KEY, "o_custkey")
+    lab = t.churn_labels.withColumnRenamed(KEY, "o_custkey")
     data = t.orders.join(lab, "o_custkey", "left")
     out = C.prepare_data(data, num_cols=["o_totalprice"], cat_cols=["o_orderpriority", "o_orderstatus"],
                          target_col="churn", key_cols=["o_orderkey", "o_custkey"],
@@ -179,4 +179,4 @@ def q_class_density(t: Inputs):
 @query("class_balance", "A15",
        sql=with_ctes("select churn, count(*) as count from account_label group by churn", "account_label"))
 def q_class_balance(t: Inputs):
-    return t.labels.groupBy("churn").agg(F.count(F.lit(1)).alias("count"))
+    return t.churn_labels.groupBy("churn").agg(F.count(F.lit(1)).alias("count"))

@@ -38,7 +38,7 @@ class Inputs:
         return fixtures.usage_panel(self.table("orders"), self.table("lineitem"), self.table("customer"))
 
     @cached_property
-    def labels(self) -> DataFrame:
+    def churn_labels(self) -> DataFrame:
         return fixtures.account_label(self.table("orders"))
 
     @cached_property
@@ -47,12 +47,12 @@ class Inputs:
 
     @cached_property
     def account_table(self) -> DataFrame:
-        return P.account_table(self.panel, self.labels)
+        return P.account_table(self.panel, self.churn_labels)
 
     @cached_property
     def explore(self) -> DataFrame:
         """Exploratory account frame (months present, cleaned means, label mean)."""
-        return P.account_months_means(self.panel, self.labels)
+        return P.account_months_means(self.panel, self.churn_labels)
 
     @cached_property
     def scored(self) -> DataFrame:

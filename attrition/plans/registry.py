@@ -34,7 +34,7 @@ def query(name: str, ops: str, sql: str | None = None):
 
 
 def registered() -> dict[str, Query]:
-    from . import catalogue, catalogue_explore, catalogue_profile  # noqa: F401  (registers on import)
+    from . import catalogue, catalogue_explore, catalogue_models, catalogue_profile  # noqa: F401,E501
 
     return dict(_REGISTRY)
 
