@@ -24,6 +24,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,12 +114,18 @@ class LinearDiscriminant:
             return (f"(CAST({self.exprs[i]} AS DOUBLE) - CASE WHEN {y} = 1 THEN {dlit(m1[i])} "
                     f"ELSE {dlit(m0[i])} END)")
 
-        pairs = [(i, j) for i in range(d) for j in range(i, d)]
-        row = df.where(F.expr(f"{y} IN (0, 1)")).agg(
-            *[F.expr(f"sum({centred(i)} * {centred(j)}) AS _s{i}_{j}") for i, j in pairs]).first()
-        s = np.zeros((d, d))
-        for i, j in pairs:
-            s[i, j] = s[j, i] = row[f"_s{i}_{j}"] or 0.0
+        # Within-class scatter: rows centred on their class mean have mean 0, so
+        # their covariance (Spark's distributed Gramian via Pearson correlation and
+        # the standard deviations) times n - 1 is the scatter matrix.
+        cols = [f"_c{i}" for i in range(d)]
+        centred_df = df.where(F.expr(f"{y} IN (0, 1)")).select(
+            *[F.expr(f"{centred(i)} AS _c{i}") for i in range(d)])
+        sd = centred_df.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first()
+        std = np.array([sd[c] or 0.0 for c in cols], dtype=float)
+        vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(centred_df)
+        corr = np.nan_to_num(Correlation.corr(vec, "_v", "pearson").first()[0].toArray())
+        np.fill_diagonal(corr, 1.0)
+        s = corr * np.outer(std, std) * max(n0 + n1 - 1, 1)
         return n0, m0, n1, m1, s
 
     def fit(self, df: DataFrame) -> LinearDiscriminantModel:
@@ -220,12 +227,13 @@ class SGDLogistic:
         try:
             for t in range(1, self.epochs + 1):
                 z = _dot(xs, w, b)
-                p = f"(1D / (1D + exp(-{z})))"
-                row = data.agg(F.count(F.lit(1)).alias("n"),
-                               F.expr(f"sum({p} - _y) AS gb"),
-                               F.expr(f"sum(-_y * ln(greatest({p}, 1e-15D)) - (1 - _y) * "
-                                      f"ln(greatest(1 - {p}, 1e-15D))) AS loss"),
-                               *[F.expr(f"sum(({p} - _y) * _x{i}) AS g{i}") for i in range(d)]).first()
+                # the probability is projected once per row, then every gradient sum reads it
+                step = data.select("_y", *xs, F.expr(f"1D / (1D + exp(-{z})) AS _p"))
+                row = step.agg(F.count(F.lit(1)).alias("n"),
+                               F.expr("sum(_p - _y) AS gb"),
+                               F.expr("sum(-_y * ln(greatest(_p, 1e-15D)) - (1 - _y) * "
+                                      "ln(greatest(1 - _p, 1e-15D))) AS loss"),
+                               *[F.expr(f"sum((_p - _y) * _x{i}) AS g{i}") for i in range(d)]).first()
                 n = max(row["n"], 1)
                 grad = np.array([row[f"g{i}"] for i in range(d)]) / n + self.alpha * w
                 eta = self.eta0 / (t ** self.power_t)
@@ -281,5 +289,10 @@ class RandomFeatureSVM:
         feats = [f"{dlit(scale)} * cos({_dot(self.exprs, w[j], b[j])})" for j in range(self.n)]
         model = RandomFeatureSVMModel(feats, None)
         svc = LinearSVC(featuresCol="_rffv", labelCol=self.label, regParam=self.reg, maxIter=self.max_iter)
-        model.svc = svc.fit(model.featurise(df))
+        # every solver iteration is a pass: evaluate the cosine features once
+        train = model.featurise(df).select("_rffv", self.label).persist()
+        try:
+            model.svc = svc.fit(train)
+        finally:
+            train.unpersist()
         return model

@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
-                  app: str = "attrition", driver_memory: str = "16g") -> SparkSession:
+                  app: str = "attrition", driver_memory: str = "16g",
+                  extra: dict[str, str] | None = None) -> SparkSession:
     """A local session configured the way a cluster job would be (AQE on, no UI)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -28,6 +29,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -1 +1,3 @@
 """Structured Streaming versions of the account aggregation."""
+
+from .account_stream import read_panel_stream, running_account_means, start_account_means  # noqa: F401

@@ -14,7 +14,11 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     from attrition.session import local_session
 
-    s = local_session(cores="*", shuffle_partitions=8, app="attrition-tests", driver_memory="8g")
+    import tempfile
+
+    scratch = tempfile.mkdtemp(prefix="attrition-tests-")
+    s = local_session(cores="*", shuffle_partitions=8, app="attrition-tests", driver_memory="8g",
+                      extra={"spark.sql.warehouse.dir": f"{scratch}/warehouse"})
     yield s
 
 
