@@ -62,6 +62,14 @@ def with_uniform_folds(df: DataFrame, k: int, seed: int = 46, column: str = "fol
     return df.withColumn(column, uniform_fold(k, seed)).checkpoint(eager=True)
 
 
+def with_uniform_column(df: DataFrame, seed: int = 46, column: str = "uid_rand") -> DataFrame:
+    """All columns plus a uniform [0, 1) column from ``rand(seed)`` (integer seed), checkpointed.
+
+    Written once so that every fold filter sees the same draw.
+    """
+    return df.select("*", F.rand(int(seed)).alias(column)).checkpoint(eager=True)
+
+
 def fold_filter(df: DataFrame, k: int, i: int, column: str = "uid_rand") -> tuple[DataFrame, DataFrame]:
     """(validation, train) for fold ``i`` of a uniform column: validation = [i/k, (i+1)/k)."""
     lo, hi = i / k, (i + 1) / k

@@ -29,6 +29,10 @@ def test_folds_partition_and_stratify(spark):
     for y in (0, 1):
         sizes = [r["count"] for r in strat if r["y"] == y]
         assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+    uni = S.with_uniform_column(df, 46)
+    parts = [S.fold_filter(uni, 4, i) for i in range(4)]
+    assert sum(v.count() for v, _ in parts) == 1003
+    assert all(v.count() + t.count() == 1003 for v, t in parts)
     split = S.hash_split(df, ["id"], 0.7).groupBy("split").count().collect()
     share = {r["split"]: r["count"] for r in split}["train"] / 1003
     assert 0.6 < share < 0.8
