@@ -150,14 +150,29 @@ class GaussianNaiveBayesModel:
             terms.append(f"{dlit(-0.5 / float(v))} * POW(CAST({e} AS DOUBLE) - {dlit(float(m))}, 2)")
         return "(" + " + ".join(terms) + ")"
 
+    def loglik_hof_sql(self, k: int) -> str:
+        """The same log-likelihood as one array fold: compact code for many features."""
+        const = math.log(self.priors[k]) - 0.5 * float(np.sum(np.log(2 * math.pi * self.vars[k])))
+        means = "array(" + ", ".join(dlit(float(m)) for m in self.means[k]) + ")"
+        coefs = "array(" + ", ".join(dlit(-0.5 / float(v)) for v in self.vars[k]) + ")"
+        return (f"aggregate(sequence(1, {len(self.exprs)}), {dlit(const)}, (acc, i) -> acc + "
+                f"element_at({coefs}, i) * (element_at(_x, i) - element_at({means}, i)) "
+                f"* (element_at(_x, i) - element_at({means}, i)))")
+
     def transform(self, df: DataFrame) -> DataFrame:
-        ll = "array(" + ", ".join(self.loglik_sql(k) for k in range(len(self.classes))) + ")"
+        wide = len(self.exprs) * len(self.classes) > 200
+        if wide:
+            # one feature array, then a fold per class (a 640-term projection overflows codegen)
+            df = df.withColumn("_x", F.expr("array(" + ", ".join(f"CAST({e} AS DOUBLE)" for e in self.exprs) + ")"))
+            ll = "array(" + ", ".join(self.loglik_hof_sql(k) for k in range(len(self.classes))) + ")"
+        else:
+            ll = "array(" + ", ".join(self.loglik_sql(k) for k in range(len(self.classes))) + ")"
         labels = "array(" + ", ".join(dlit(float(c)) for c in self.classes) + ")"
         out = df.withColumn("_ll", F.expr(ll)).withColumn(
             "prediction", F.expr(f"element_at({labels}, CAST(array_position(_ll, array_max(_ll)) AS INT))"))
         if len(self.classes) == 2:
             out = out.withColumn("score", F.expr("1D / (1D + exp(_ll[0] - _ll[1]))"))
-        return out.drop("_ll")
+        return out.drop("_ll", "_x") if wide else out.drop("_ll")
 
 
 class GaussianNaiveBayes:

@@ -114,7 +114,7 @@ _SLICES = {"all": "", "positive": f"{EXPLORATORY_LABEL} > 0", "negative": f"{EXP
 @query("corr_all", "A16 A18 (account means, strict lower triangle)",
        sql=with_ctes(_corr_sql("explore", EXPLORE_COLS, {"all": ""}), "explore"))
 def q_corr_all(t: Inputs):
-    return finish(D.correlation_long(t.explore, EXPLORE_COLS, "all"))
+    return finish(D.correlation_long(t.stored("explore"), EXPLORE_COLS, "all"))
 
 
 _RATIO_BLOCK = [*RATIO_NAMES, EXPLORATORY_LABEL]
@@ -128,7 +128,7 @@ _RATIO_FRAME_SQL = ("ratio_frame as (select user_account_id, "
 def q_corr_by_class(t: Inputs):
     from ..operators.ratios import add_ratio_features
 
-    frame = add_ratio_features(t.explore).select(*_RATIO_BLOCK)
+    frame = add_ratio_features(t.stored("explore")).select(*_RATIO_BLOCK)
     return finish(D.correlation_by_class(frame, _RATIO_BLOCK, EXPLORATORY_LABEL))
 
 
@@ -149,7 +149,7 @@ _CLASS_COLS = [MONTHS_PRESENT, *FEATS]
                      + " from " + _unpivot_sql("explore", _CLASS_COLS, ids=[EXPLORATORY_LABEL])
                      + f" u where not isnan(value) group by {EXPLORATORY_LABEL}, {_q('column')}", "explore"))
 def q_class_quartiles(t: Inputs):
-    return finish(D.class_quartiles(t.explore, _CLASS_COLS, EXPLORATORY_LABEL))
+    return finish(D.class_quartiles(t.stored("explore"), _CLASS_COLS, EXPLORATORY_LABEL))
 
 
 def _class_hist_sql(n_bins: int = 50) -> str:
@@ -168,12 +168,12 @@ def _class_hist_sql(n_bins: int = 50) -> str:
 
 @query("class_histogram", "A20 (equal-width histogram per column and class)", sql=_class_hist_sql())
 def q_class_histogram(t: Inputs):
-    return finish(D.class_histogram(t.explore, _CLASS_COLS, EXPLORATORY_LABEL))
+    return finish(D.class_histogram(t.stored("explore"), _CLASS_COLS, EXPLORATORY_LABEL))
 
 
 @query("class_density", "A20 (Gaussian density on a grid, from the histogram)")
 def q_class_density(t: Inputs):
-    return finish(D.class_density(t.explore, _CLASS_COLS, EXPLORATORY_LABEL))
+    return finish(D.class_density(t.stored("explore"), _CLASS_COLS, EXPLORATORY_LABEL))
 
 
 @query("class_balance", "A15",

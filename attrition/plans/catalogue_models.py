@@ -30,7 +30,7 @@ DRIVERS = [c if c != "sms_outgoing_to_abroad_inactive_days" else "sms_outgoing_t
 
 @query("resample", "SA1 (keep positives, Bernoulli-sample negatives to 1:1)")
 def q_resample(t: Inputs):
-    return finish(S.resample(t.account_table, "churn", 1.0, seed=46))
+    return finish(S.resample(t.stored("account_table"), "churn", 1.0, seed=46))
 
 
 @query("hash_split", "SA2 (70/30 split by key hash)")
@@ -80,7 +80,7 @@ _STD_SQL = with_ctes(
 
 @query("standardised", "M4 (zero mean, unit sample std; constant column -> 0)", sql=_STD_SQL)
 def q_standardised(t: Inputs):
-    table = t.account_table
+    table = t.stored("account_table")
     scaler = FE.StandardScalerColumns(FEATS).fit(table)
     return finish(scaler.transform(table).select(KEY, *FEATS))
 
@@ -151,7 +151,7 @@ def q_roc_points(t: Inputs):
 
 def model_frame(t: Inputs, k: int = 3) -> DataFrame:
     """Account table, features filled and standardised, assembled, with hash folds and a hash split."""
-    table = t.account_table.fillna(0.0, subset=FEATS).withColumn("label", F.col("churn").cast("double"))
+    table = t.stored("account_table").fillna(0.0, subset=FEATS).withColumn("label", F.col("churn").cast("double"))
     scaled = FE.StandardScalerColumns(FEATS).fit(table).transform(table)
     data = FE.assemble_features(scaled, FEATS, output_col=M.FEATURES)
     data = S.with_hash_folds(data, [KEY], k)
@@ -217,7 +217,7 @@ _LDA2_SQL = with_ctes(
 
 @query("lda_two_features", "C3 closed form on two features (decision value and class)", sql=_LDA2_SQL)
 def q_lda_two_features(t: Inputs):
-    table = t.account_table.fillna(0.0, subset=_LDA2)
+    table = t.stored("account_table").fillna(0.0, subset=_LDA2)
     model = M.LinearDiscriminant(_LDA2, label="churn").fit(table)
     z = F.expr(model.decision_sql())
     return finish(table.select(KEY, "churn", z.alias("decision"), (z > 0).cast("double").alias("prediction")))
@@ -344,7 +344,7 @@ def _box_sql() -> str:
 
 @query("driver_box_stats", "A22 A23 (loyal quartiles, whiskers, outliers per driver)", sql=_box_sql())
 def q_driver_box_stats(t: Inputs):
-    return finish(DR.box_stats(t.scored, DRIVERS))
+    return finish(DR.box_stats(t.stored("scored"), DRIVERS))
 
 
 def _analysis_sql() -> str:
@@ -363,7 +363,7 @@ def _analysis_sql() -> str:
 @query("driver_analysis", "M5 R2 E11 P5 (leavers' drivers scaled by the loyal median and IQR)",
        sql=_analysis_sql())
 def q_driver_analysis(t: Inputs):
-    return finish(DR.driver_analysis(t.scored, DRIVERS))
+    return finish(DR.driver_analysis(t.stored("scored"), DRIVERS))
 
 
 @lru_cache(maxsize=1)

@@ -97,7 +97,7 @@ _ACCOUNT_TYPES = {c: "double" for c in PANEL_FEATURES} | {"user_account_id": "bi
            + ", churn from account_table) s", _ACCOUNT_COLS, _ACCOUNT_TYPES)), "account_table"))
 def q_profile_account_table(t: Inputs):
     # the table as stored at 4 decimals, so that equal means compare equal in every engine
-    return finish(PR.profile(finish(t.account_table), exact=True))
+    return finish(PR.profile(finish(t.stored("account_table")), exact=True))
 
 
 @query("profile_sketch", "PR1 default mode (HLL++ distinct, GK percentiles) on every lineitem column")

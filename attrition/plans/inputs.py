@@ -58,6 +58,17 @@ class Inputs:
     def scored(self) -> DataFrame:
         return fixtures.scored_accounts(self.account_means)
 
+    def stored(self, name: str) -> DataFrame:
+        """A derived table written once to the checkpoint folder (for analyses that read it many times).
+
+        The same step as saving the account table before profiling it: later
+        passes read the written rows instead of re-running the derivation.
+        """
+        key = f"_stored_{name}"
+        if key not in self.__dict__:
+            self.__dict__[key] = getattr(self, name).checkpoint(eager=True)
+        return self.__dict__[key]
+
 
 def finish(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every floating column with the tie-safe rule so two engines compare equal."""
