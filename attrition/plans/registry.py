@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
 from .inputs import Inputs
 
 
@@ -43,6 +44,7 @@ def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     q = registered()[name]
 
     def run(spark: SparkSession, data_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
         return q.build(Inputs(spark, data_dir))
 
     run.__name__ = name
