@@ -32,7 +32,7 @@ def describe_columns(df: DataFrame, cols: list[str], by: list[str] = ()) -> Data
     moments = long.groupBy(*by, "column").agg(
         F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"))
-    q = exact_quantiles(long, [*by, "column"], "value", QUARTILES, method="linear")
+    q = exact_quantiles(long, [*by, "column"], "value", QUARTILES, method="linear", eager=True)
     return moments.join(q, [*by, "column"], "left").select(
         *by, "column", "count", "mean", "std", "min", *QUARTILES, "max")
 
@@ -89,7 +89,7 @@ def class_quartiles(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """Exact quartiles of every column within each class (inner box of a violin plot)."""
     long = _long(df, cols, [label])
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return exact_quantiles(long, [label, "column"], "value", QUARTILES, method="linear")
+    return exact_quantiles(long, [label, "column"], "value", QUARTILES, method="linear", eager=True)
 
 
 def class_histogram(df: DataFrame, cols: list[str], label: str, n_bins: int = 50) -> DataFrame:

@@ -85,10 +85,10 @@ def numeric_stats(df: DataFrame, cols: list[str], exact: bool = False, accuracy:
     stats = long.groupBy("column").agg(*aggs)
     if exact:
         present = long.where(ok)
-        distinct = present.select("column", "value").distinct().groupBy("column").agg(
-            F.count(F.lit(1)).alias("distinct_values"))
-        pcts = exact_quantiles(present, ["column"], "value", PERCENTILES, method="discrete")
-        stats = stats.join(distinct, "column", "left").join(pcts, "column", "left")
+        # one pass collapses (column, value); it yields the distinct counts and the percentiles
+        pcts = exact_quantiles(present, ["column"], "value", PERCENTILES, method="discrete", eager=True,
+                               with_distinct=True).withColumnRenamed("n_distinct", "distinct_values")
+        stats = stats.join(pcts, "column", "left")
     else:
         stats = stats.select("*", *[F.col("_pcts")[i].alias(n) for i, n in enumerate(PERCENTILES)])
     return stats.select(

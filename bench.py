@@ -38,6 +38,7 @@ CV_MODELS = {
     "cv5_random_forest": lambda: M.random_forest(20),
     "cv5_extra_trees": lambda: M.extra_trees(20),
     "cv5_sgd_logistic": lambda: M.SGDLogistic(FEATS),
+    "cv5_gradient_boosting": lambda: M.gradient_boosting(100),
 }
 
 
