@@ -150,13 +150,19 @@ def q_roc_points(t: Inputs):
 
 
 def model_frame(t: Inputs, k: int = 3) -> DataFrame:
-    """Account table, features filled and standardised, assembled, with hash folds and a hash split."""
+    """Account table with a 70/30 hash split; features filled, standardised with the statistics of
+    the training split only, assembled; hash folds for cross-validation on the training split."""
     table = t.stored("account_table").fillna(0.0, subset=FEATS).withColumn("label", F.col("churn").cast("double"))
-    scaled = FE.StandardScalerColumns(FEATS).fit(table).transform(table)
-    data = FE.assemble_features(scaled, FEATS, output_col=M.FEATURES)
+    table = S.hash_split(table, [KEY], 0.7, seed=42)
+    scaler = FE.StandardScalerColumns(FEATS).fit(table.where(F.col("split") == "train"))
+    data = FE.assemble_features(scaler.transform(table), FEATS, output_col=M.FEATURES)
     data = S.with_hash_folds(data, [KEY], k)
     # many passes follow (fits, folds): materialise once in the checkpoint folder
-    return S.hash_split(data, [KEY], 0.7, seed=42).checkpoint(eager=True)
+    return data.checkpoint(eager=True)
+
+
+def train_rows(data: DataFrame) -> DataFrame:
+    return data.where(F.col("split") == "train")
 
 
 def _fit_score(t: Inputs, make) -> DataFrame:
@@ -272,7 +278,7 @@ def q_gaussian_nb_predict(t: Inputs):
 
 @query("cv_metrics", "E1 E2 E3 E4 E5 (3-fold cross-validation of logistic regression)")
 def q_cv_metrics(t: Inputs):
-    _, _, metrics = EV.cross_validate(model_frame(t), lambda: M.logistic_regression(20))
+    _, _, metrics = EV.cross_validate(train_rows(model_frame(t)), lambda: M.logistic_regression(20))
     return finish(metrics)
 
 
@@ -281,19 +287,19 @@ def q_model_comparison(t: Inputs):
     models = {"naive_bayes": lambda: M.GaussianNaiveBayes(FEATS), "lda": lambda: M.LinearDiscriminant(FEATS),
               "logistic": lambda: M.logistic_regression(20), "tree": lambda: M.decision_tree(),
               "forest": lambda: M.random_forest(20)}
-    return EV.compare_models(model_frame(t), models).drop("seconds")
+    return finish(EV.compare_models(train_rows(model_frame(t)), models))
 
 
 @query("feature_weights", "E8 (sparse logistic weights, ascending)")
 def q_feature_weights(t: Inputs):
-    data = model_frame(t)
+    data = train_rows(model_frame(t))
     model = M.logistic_regression(100, reg=0.01, elastic_net=1.0).fit(data)
     return finish(SEL.feature_weights(t.spark, model, FEATS))
 
 
 @query("feature_elimination", "E9 (recursive elimination, random forest importances, 2 folds)")
 def q_feature_elimination(t: Inputs):
-    data = model_frame(t, k=2)
+    data = train_rows(model_frame(t, k=2))
     table, _ = SEL.feature_elimination(data, FEATS, lambda: M.random_forest(10, max_depth=5), step=10)
     return finish(table)
 
