@@ -282,12 +282,13 @@ def q_cv_metrics(t: Inputs):
     return finish(metrics)
 
 
-@query("model_comparison", "E7 (cross-validated AUC and time of several classifiers)")
+@query("model_comparison", "E7 (cross-validated AUC, hold-out hard-label AUC and time of several classifiers)")
 def q_model_comparison(t: Inputs):
     models = {"naive_bayes": lambda: M.GaussianNaiveBayes(FEATS), "lda": lambda: M.LinearDiscriminant(FEATS),
               "logistic": lambda: M.logistic_regression(20), "tree": lambda: M.decision_tree(),
               "forest": lambda: M.random_forest(20)}
-    return finish(EV.compare_models(train_rows(model_frame(t)), models))
+    data = model_frame(t)
+    return finish(EV.compare_models(train_rows(data), models, test=data.where(F.col("split") == "test")))
 
 
 @query("feature_weights", "E8 (sparse logistic weights, ascending)")
