@@ -114,27 +114,30 @@ def class_density(df: DataFrame, cols: list[str], label: str, n_bins: int = 50,
                   grid_points: int = 64) -> DataFrame:
     """Gaussian kernel density per (column, class) on a fixed grid, from the fine histogram.
 
-    Bandwidth by Scott's rule on the class moments. The smoothing works on at
-    most ``n_bins`` x ``grid_points`` cells per (column, class), independent of
-    the row count: each histogram bin is expanded to the grid as an array.
-    Output (column, label, x, density).
+    Bandwidth by Scott's rule on the class moments (at least half a bin). The
+    grid spans the column's overall range; the smoothing works on at most
+    ``n_bins`` x ``grid_points`` cells per (column, class), independent of the
+    row count. Output (column, label, x, density).
     """
-    hist = class_histogram(df, cols, label, n_bins)
     long = _long(df, cols, [label]).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    mom = long.groupBy("column", label).agg(F.count(F.lit(1)).alias("_n"),
-                                            F.stddev_samp("value").alias("_sd"))
-    bw = F.greatest(F.coalesce(F.col("_sd"), F.lit(0.0)) * F.pow(F.col("_n").cast("double"), F.lit(-0.2)),
-                    (F.col("hi") - F.col("lo")) / F.lit(2.0))
-    h = hist.join(mom, ["column", label]).withColumn("_bw", bw)
-    centre = (F.col("lo") + F.col("hi")) / F.lit(2.0)
-    span = F.col("hi") - F.col("lo")
-    grid_lo = F.col("lo") - F.col("bucket") * span
-    step = span * F.lit(float(n_bins)) / F.lit(float(grid_points - 1))
-    idx = F.sequence(F.lit(0), F.lit(grid_points - 1))
-    pts = h.select("column", label, "_n", "_bw", "count", centre.alias("_c"),
-                   F.explode(idx).alias("_g"), grid_lo.alias("_glo"), step.alias("_gs"))
-    x = F.col("_glo") + F.col("_g") * F.col("_gs")
+    rng = long.groupBy("column").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    j = long.join(F.broadcast(rng), "column")  # one row per column: bounded
+    nb = F.lit(float(n_bins))
+    pos = F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * nb
+    bucket = F.least(F.coalesce(F.floor(pos), F.lit(0)), F.lit(n_bins - 1)).cast("int")
+    hist = j.groupBy("column", label, bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    mom = long.groupBy("column", label).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("value").alias("_sd"))
+    width = (F.col("_hi") - F.col("_lo")) / nb
+    h = hist.join(mom, ["column", label]).withColumn(
+        "_bw", F.greatest(F.coalesce(F.col("_sd"), F.lit(0.0)) * F.pow(F.col("_n").cast("double"), F.lit(-0.2)),
+                          width / F.lit(2.0)))
+    centre = F.col("_lo") + (F.col("bucket") + F.lit(0.5)) * width
+    g = F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("_g")
+    pts = h.select("column", label, "_n", "_bw", "count", "_lo", "_hi", centre.alias("_c"), g)
+    x = F.col("_lo") + F.col("_g") * (F.col("_hi") - F.col("_lo")) / F.lit(float(grid_points - 1))
     z = F.try_divide(x - F.col("_c"), F.col("_bw"))
     k = F.try_divide(F.exp(F.lit(-0.5) * z * z), F.col("_bw") * F.lit(math.sqrt(2 * math.pi)))
     contrib = F.coalesce(F.try_divide(F.col("count") * k, F.col("_n").cast("double")), F.lit(0.0))
-    return pts.groupBy("column", label, x.alias("x")).agg(F.sum(contrib).alias("density"))
+    return pts.groupBy("column", label, "_g").agg(F.first(x).alias("x"), F.sum(contrib).alias("density")) \
+        .drop("_g")
