@@ -171,7 +171,29 @@ def q_class_histogram(t: Inputs):
     return finish(D.class_histogram(t.stored("explore"), _CLASS_COLS, EXPLORATORY_LABEL))
 
 
-@query("class_density", "A20 (Gaussian density on a grid, from the histogram)")
+def _class_density_sql(n_bins: int = 50, grid_points: int = 64) -> str:
+    nb = f"cast({n_bins} as double)"
+    long = _unpivot_sql("explore", _CLASS_COLS, ids=[EXPLORATORY_LABEL])
+    lab = EXPLORATORY_LABEL
+    col = _q("column")
+    return with_ctes(
+        f"select {col}, {lab}, {r4('x')} as x, {r4('density')} as density from ("
+        f"select {col}, {lab}, g, min(_lo + g * (_hi - _lo) / cast({grid_points - 1} as double)) as x, "
+        f"sum(coalesce(count * (exp(-0.5 * z * z) / nullif(_bw * sqrt(2 * pi()), 0)) / cast(_n as double), 0.0)) "
+        f"as density from (select *, ((_lo + g * (_hi - _lo) / cast({grid_points - 1} as double)) "
+        f"- (_lo + (bucket + 0.5) * ((_hi - _lo) / {nb}))) / nullif(_bw, 0) as z from ("
+        f"select h.*, m._n, greatest(coalesce(m._sd, 0.0) * pow(cast(m._n as double), -0.2), "
+        f"((_hi - _lo) / {nb}) / 2.0) as _bw, gg.g from (select u.{col}, {lab}, "
+        f"cast(least(coalesce(floor((value - _lo) / nullif(_hi - _lo, 0) * {nb}), 0), {n_bins - 1}) as int) "
+        f"as bucket, count(*) as count, min(_lo) as _lo, min(_hi) as _hi from {long} u join "
+        f"(select {col}, min(value) as _lo, max(value) as _hi from {long} r where not isnan(value) group by 1) "
+        f"rg on u.{col} = rg.{col} where not isnan(value) group by 1, 2, 3) h join "
+        f"(select {col}, {lab}, count(*) as _n, stddev_samp(value) as _sd from {long} q where not isnan(value) "
+        f"group by 1, 2) m on h.{col} = m.{col} and h.{lab} = m.{lab}, range(0, {grid_points}) gg(g)) a) b "
+        f"group by {col}, {lab}, g) c", "explore")
+
+
+@query("class_density", "A20 (Gaussian density on a grid, from the histogram)", sql=_class_density_sql())
 def q_class_density(t: Inputs):
     return finish(D.class_density(t.stored("explore"), _CLASS_COLS, EXPLORATORY_LABEL))
 
