@@ -71,3 +71,16 @@ def test_histograms(spark):
     assert 1 <= len(ad) <= 3 and sum(r["count"] for r in ad) == 10
     rb = PR.rebin_histogram(PR.histogram_adaptive(df, ["x"], 10), 2).collect()
     assert sum(r["count"] for r in rb) == 10
+
+
+def test_approx_distinct_within_tolerance_and_unpivot_count(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20000).select((F.col("id") % 7919).alias("a"), (F.col("id") * 7).alias("b"))
+    long = PR._long(df, ["a", "b"], "double")
+    assert long.count() == 20000 * 2  # unpivot: rows x columns
+    approx = {r["column"]: r["distinct_values"] for r in PR.profile(df).collect()}
+    exact = {r["column"]: r["distinct_values"] for r in PR.profile(df, exact=True).collect()}
+    assert exact == {"a": 7919, "b": 20000}
+    for c in ("a", "b"):
+        assert abs(approx[c] - exact[c]) <= 3 * 0.05 * exact[c]  # default rsd 0.05
