@@ -57,3 +57,23 @@ def test_ranked_is_a_permutation(spark):
         items.sort()
         assert [i[2] for i in items] == list(range(len(items)))
         assert all(i[3] == len(items) for i in items)
+
+
+def test_hot_group_and_hot_value_through_range_path(spark):
+    """One group holds a third of all rows and one value a third of that group; buckets chosen automatically."""
+    from attrition.functions import ranking as R
+
+    rng = np.random.default_rng(5)
+    hot = [("hot", 0.0)] * 300 + [("hot", float(x)) for x in rng.normal(size=600)]
+    cold = [(f"g{i % 9}", float(x)) for i, x in enumerate(rng.normal(size=1800))]
+    rows = hot + cold
+    df = spark.createDataFrame(rows, "g string, x double")
+    freq = R.value_counts(df, ["g"], "x")
+    ps = R.prefix_sums(freq, ["g"], "x", ["_n"], rows_per_bucket=40).collect()
+    for g in {"hot", "g0"}:
+        mine = sorted((r["x"], r["_n_before"], r["_n_total"]) for r in ps if r["g"] == g)
+        vals = np.array(sorted(x for gg, x in rows if gg == g))
+        for x, before, total in mine:
+            assert before == int(np.sum(vals < x)) and total == len(vals)
+    q = {r["g"]: r["m"] for r in R.exact_quantiles(df, ["g"], "x", {"m": 0.5}).collect()}
+    assert q["hot"] == pytest.approx(np.quantile([x for gg, x in rows if gg == "hot"], 0.5))
