@@ -93,3 +93,27 @@ def test_oracle_matches_at_smallest_scale(spark, duck, name):
     idx = {c: i for i, c in enumerate(rel.columns)}
     want = sorted((tuple(r[idx[c]] for c in cols) for r in rel.fetchall()), key=repr)
     assert sorted(rel.columns) == cols and got == want
+
+
+def test_bucketed_tables_join_without_exchange(spark):
+    from attrition.sources.fixtures import order_line_summary
+
+    orders = tables.read_table(spark, SF_SMALL, "orders").select("o_orderkey", "o_custkey")
+    lines = tables.read_table(spark, SF_SMALL, "lineitem")
+    for t in ("b_orders", "b_lines"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    sinks.save_bucketed_table(orders, "b_orders", "o_orderkey", 8)
+    sinks.save_bucketed_table(lines, "b_lines", "l_orderkey", 8)
+    summary = order_line_summary(spark.table("b_lines"))
+    joined = spark.table("b_orders").join(summary, F.col("o_orderkey") == F.col("l_orderkey"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the sort-merge plan
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+        plain = orders.join(order_line_summary(lines), F.col("o_orderkey") == F.col("l_orderkey"))
+        assert joined.count() == plain.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for t in ("b_orders", "b_lines"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
