@@ -6,10 +6,7 @@ full; floating outputs are rounded with the tie-safe rule in both engines.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import panel as P
-from ..schema import KEY
 from .inputs import Inputs, finish
 from .oracle_sql import PANEL_FEATURES, r4, rounded, with_ctes
 from .registry import query
@@ -77,5 +74,3 @@ def q_account_spot_check(t: Inputs):
 def q_scored_accounts(t: Inputs):
     return finish(t.scored)
 
-
-__all__ = ["F", "KEY"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -372,7 +370,3 @@ def _analysis_sql() -> str:
 def q_driver_analysis(t: Inputs):
     return finish(DR.driver_analysis(t.stored("scored"), DRIVERS))
 
-
-@lru_cache(maxsize=1)
-def classifier_names() -> tuple[str, ...]:
-    return tuple(_CLASSIFIERS)

@@ -11,7 +11,6 @@ from .oracle_sql import PANEL_FEATURES, r4, with_ctes
 from .registry import query
 
 _NULL_D = "cast(null as double)"
-_NULL_L = "cast(null as bigint)"
 
 
 def _spark_round3(expr: str) -> str:
