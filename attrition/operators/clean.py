@@ -62,16 +62,18 @@ def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 DEFAULT_FILTERS = ("profitability != 0", "status = 'a'")
+DEFAULT_LEVELS = {"gender": ("M", "F")}
 
 
 def prepare_data(df: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str] = (),
                  target_col: str | None = None, key_cols: Sequence[str] = (),
                  filters: Sequence[str] = DEFAULT_FILTERS,
-                 membership: Mapping[str, Sequence] | None = None) -> DataFrame:
+                 membership: Mapping[str, Sequence] | None = DEFAULT_LEVELS) -> DataFrame:
     """Filter, replace '' by 'NULL' in categoricals, fill numeric nulls with 0, project.
 
     ``filters`` are SQL predicates applied in order; ``membership`` maps a
-    column to the levels kept, applied only when the column is categorical.
+    column to the levels kept, applied only when the column is categorical
+    (by default ``gender`` in M / F).
     """
     out = df
     for pred in filters:

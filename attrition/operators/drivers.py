@@ -43,6 +43,19 @@ def box_stats(scored: DataFrame, drivers: list[str], prediction_col: str = PREDI
         F.count_if((v < lo) | (v > hi)).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
 
 
+def scaled_box_stats(scored: DataFrame, drivers: list[str], prediction_col: str = PREDICTION_COL) -> DataFrame:
+    """Box statistics of the loyal accounts' drivers after robust scaling by their own median and IQR.
+
+    This is the box drawn behind each leaver's points (median 0, IQR 1 unless
+    the IQR is 0, in which case the scaled values are null and dropped).
+    """
+    from .features import RobustScalerColumns
+
+    loyal = scored.where(F.col(prediction_col) == 0)
+    scaled = RobustScalerColumns(drivers).fit(loyal).transform(loyal)
+    return box_stats(scaled, drivers, prediction_col)
+
+
 def driver_analysis(scored: DataFrame, drivers: list[str], accounts: list | None = None,
                     key: str = KEY, score_col: str = SCORE_COL, prediction_col: str = PREDICTION_COL,
                     view: tuple[float, float] = (-3.0, 30.0)) -> DataFrame:

@@ -11,22 +11,25 @@ from ..functions.ranking import exact_quantiles
 
 
 def encode_features(df: DataFrame, cat_features: list[str], suffix: str = "ohe",
-                    drop_last: bool = True) -> tuple[DataFrame, dict[str, list[str]]]:
+                    drop_last: bool = True, handle_invalid: str = "error") -> tuple[DataFrame, dict[str, list[str]]]:
     """Index each categorical by descending frequency (ties alphabetical) and one-hot encode it.
 
     Output column ``<col><suffix>`` (no separator). Returns the frame and, per
-    encoded column, its level names without the dropped last level.
+    encoded column, its level names without the dropped last level. With the
+    default ``handle_invalid="error"`` the dropped slot is the least frequent
+    level (``"keep"`` would add an invalid slot and drop that one instead).
     """
     if not cat_features:
         return df, {}
     idx_cols = [f"{c}_index" for c in cat_features]
     out_cols = [f"{c}{suffix}" for c in cat_features]
     indexer = StringIndexer(inputCols=list(cat_features), outputCols=idx_cols,
-                            stringOrderType="frequencyDesc", handleInvalid="keep").fit(df)
+                            stringOrderType="frequencyDesc", handleInvalid=handle_invalid).fit(df)
     encoder = OneHotEncoder(inputCols=idx_cols, outputCols=out_cols, dropLast=drop_last,
-                            handleInvalid="keep").fit(indexer.transform(df))
+                            handleInvalid="keep" if handle_invalid == "keep" else "error").fit(indexer.transform(df))
     encoded = encoder.transform(indexer.transform(df))
-    labels = {o: list(lv[:-1] if drop_last else lv) for o, lv in zip(out_cols, indexer.labelsArray)}
+    keep_all = handle_invalid == "keep" or not drop_last
+    labels = {o: list(lv if keep_all else lv[:-1]) for o, lv in zip(out_cols, indexer.labelsArray)}
     return encoded, labels
 
 

@@ -352,6 +352,29 @@ def q_driver_box_stats(t: Inputs):
     return finish(DR.box_stats(t.stored("scored"), DRIVERS))
 
 
+def _box_scaled_sql() -> str:
+    loyal = (f"(select * from (select {', '.join(DRIVERS)} from scored where {PREDICTION_COL} = 0) "
+             f"unpivot (value for driver in ({', '.join(DRIVERS)})))")
+    scaled = (f"(select l.driver, (l.value - s.median) / nullif(s.iqr, 0) as value from {loyal} l join "
+              f"(select driver, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.75) - "
+              f"quantile_cont(value, 0.25) as iqr from {loyal} z group by driver) s using (driver) "
+              f"where s.iqr <> 0)")
+    return with_ctes(
+        "select driver, " + ", ".join(f"{r4(c)} as {c}" for c in ("q1", "median", "q3", "iqr"))
+        + ", " + r4("min(value) filter (where value >= q1 - 1.5 * iqr)") + " as whisker_lo, "
+        + r4("max(value) filter (where value <= q3 + 1.5 * iqr)") + " as whisker_hi, "
+        "count(*) filter (where value < q1 - 1.5 * iqr or value > q3 + 1.5 * iqr) as n_outliers, count(*) as n "
+        f"from {scaled} l join (select driver, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as median, "
+        f"quantile_cont(value, 0.75) as q3, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as iqr "
+        f"from {scaled} z group by driver) s using (driver) group by driver, q1, median, q3, iqr", "scored")
+
+
+@query("driver_box_scaled", "A23 M5 (loyal box statistics on the robust-scaled drivers, as drawn)",
+       sql=_box_scaled_sql())
+def q_driver_box_scaled(t: Inputs):
+    return finish(DR.scaled_box_stats(t.stored("scored"), DRIVERS))
+
+
 def _analysis_sql() -> str:
     loyal = (f"(select * from (select {', '.join(DRIVERS)} from scored where {PREDICTION_COL} = 0) "
              f"unpivot (value for driver in ({', '.join(DRIVERS)})))")

@@ -126,3 +126,9 @@ def test_summary_and_call_list(drivers_small):
     top = [r["user_account_id"] for r in SC.call_list(drivers_small, 1).collect()]
     assert top == [10]
     assert drivers_small.where(F.col("d1") > 0).count() == 11
+
+
+def test_scaled_box_has_unit_iqr(drivers_small):
+    box = {r["driver"]: r for r in DR.scaled_box_stats(drivers_small, ["d1", "d2"]).collect()}
+    assert box["d1"]["median"] == pytest.approx(0.0) and box["d1"]["iqr"] == pytest.approx(1.0)
+    assert "d2" not in box  # IQR 0: no finite scale, no box
