@@ -22,8 +22,8 @@ class Inputs:
     _tables: dict = {}
 
     def table(self, name: str) -> DataFrame:
-        """The Parquet table (lazy); its footer is read once per session and directory."""
-        key = (id(self.spark), self.data_dir, name)
+        """The Parquet table (lazy); its footer is read once per application and directory."""
+        key = (self.spark.sparkContext.applicationId, self.data_dir, name)
         if key not in Inputs._tables:
             Inputs._tables[key] = tables.read_table(self.spark, self.data_dir, name)
         return Inputs._tables[key]
