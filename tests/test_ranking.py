@@ -77,3 +77,10 @@ def test_hot_group_and_hot_value_through_range_path(spark):
             assert before == int(np.sum(vals < x)) and total == len(vals)
     q = {r["g"]: r["m"] for r in R.exact_quantiles(df, ["g"], "x", {"m": 0.5}).collect()}
     assert q["hot"] == pytest.approx(np.quantile([x for gg, x in rows if gg == "hot"], 0.5))
+
+
+def test_null_group_is_kept_on_the_range_path(spark):
+    rows = [(None, float(i)) for i in range(50)] + [("a", float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    q = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "x", {"m": 0.5}, n_buckets=4).collect()}
+    assert q == {None: 24.5, "a": 14.5}
