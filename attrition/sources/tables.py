@@ -35,6 +35,20 @@ def read_catalog_table(spark: SparkSession, name: str, database: str | None = No
     return spark.table(f"{database}.{name}" if database else name)
 
 
+def query_view(df: DataFrame, view: str, sql: str) -> DataFrame:
+    """Register ``df`` as a temporary view, run SQL text over it, drop the view.
+
+    The result is materialised lazily like any plan: the view name is resolved
+    when the SQL is analysed, so dropping it afterwards is safe.
+    """
+    spark = df.sparkSession
+    df.createOrReplaceTempView(view)
+    try:
+        return spark.sql(sql)
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 def peek(df: DataFrame, n: int = 5) -> DataFrame:
     """The first ``n`` rows (a bounded look, no full collect)."""
     return df.limit(n)

@@ -117,3 +117,12 @@ def test_bucketed_tables_join_without_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         for t in ("b_orders", "b_lines"):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_query_view_runs_sql_and_drops_the_view(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(1, 101)], "x double")
+    out = tables.query_view(df, "tmp_attr", "SELECT percentile_approx(x, 0.5, 100000) AS p50, count(*) AS n FROM tmp_attr")
+    row = out.first()
+    assert row["p50"] == 50.0 and row["n"] == 100
+    assert not spark.catalog.tableExists("tmp_attr")
+    assert tables.peek(df, 3).count() == 3
