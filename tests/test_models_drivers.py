@@ -132,3 +132,9 @@ def test_scaled_box_has_unit_iqr(drivers_small):
     box = {r["driver"]: r for r in DR.scaled_box_stats(drivers_small, ["d1", "d2"]).collect()}
     assert box["d1"]["median"] == pytest.approx(0.0) and box["d1"]["iqr"] == pytest.approx(1.0)
     assert "d2" not in box  # IQR 0: no finite scale, no box
+
+
+def test_encoding_refuses_unbounded_levels(spark):
+    df = spark.range(500).selectExpr("cast(id as string) as v")
+    with pytest.raises(ValueError):
+        FE.encode_features(df, ["v"], max_levels=100)
