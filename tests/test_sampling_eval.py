@@ -55,3 +55,10 @@ def test_auc_invariant_under_monotone_transform(spark):
     a = auc_by_rank(df, "s", "y").first()["auc"]
     b = auc_by_rank(df.withColumn("s", F.exp(F.col("s") * 3)), "s", "y").first()["auc"]
     assert 0.0 <= a <= 1.0 and a == pytest.approx(b)
+
+
+def test_resample_ratio_two_halves_the_negatives(spark):
+    df = spark.range(20000).select(F.col("id"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    counts = {r["y"]: r["count"] for r in S.class_counts(S.resample(df, "y", 2.0, seed=7), "y").collect()}
+    assert counts[1] == 5000
+    assert 2200 < counts[0] < 2800  # expected 2500: positives / negatives ~ 2
