@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import exact_dedup
+from . import bpe, exact_dedup
+
+#: Vocabulary files are parameters; the package of public tokenizers says where they are.
+RANK_FILE = "byte_bpe_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,3 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabularies.path(RANK_FILE), vocabularies.PATTERN)
