@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, token_files
+from .storage import scratch_path
 
 #: Vocabulary files are parameters; the package of public tokenizers says where they are.
 RANK_FILE = "byte_bpe_50k.tiktoken"
+TOKENIZER_FILE = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,3 +49,14 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabularies.path(RANK_FILE), vocabularies.PATTERN)
+
+
+@register()
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    file, pattern = vocabularies.path(TOKENIZER_FILE), vocabularies.PATTERN
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path,
+                             lambda: token_files.text_encoder(file, pattern), end_id=0)
+    return token_files.read_index(spark, path)
