@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, exact_dedup, token_files
-from .storage import scratch_path
+from . import bpe, exact_dedup, near_dedup, token_files
+from .storage import scratch_path, ship_package
 
 #: Vocabulary files are parameters; the package of public tokenizers says where they are.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,7 @@ def register(sql: str | None = None):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_checkpoint_dir(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
 
         QUERIES[fn.__name__] = run
@@ -60,3 +61,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_tokens(table(spark, sf_dir, "documents"), path,
                              lambda: token_files.text_encoder(file, pattern), end_id=0)
     return token_files.read_index(spark, path)
+
+
+@register()
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
