@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -269,9 +270,7 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with a binary column of token ids (little-endian, unsigned 32 bits) of the whole text."""
     @F.pandas_udf("binary")
-    def encode(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = codec(path, pattern).encode
         for t in texts:
             yield pd.Series([enc(x) if x else b"" for x in t], dtype=object)
@@ -284,9 +283,7 @@ def decode_texts(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids
                  chunk: int = 4096) -> DataFrame:
     """``tokens`` with the text of a binary column of token ids, decoded as a stream of ``chunk`` ids."""
     @F.pandas_udf("string")
-    def decode(ids: Iterator) -> Iterator:
-        import pandas as pd
-
+    def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = codec(path, pattern).decode
         for b in ids:
             yield pd.Series(["".join(run(_chunks(x, chunk))) for x in b], dtype=object)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, exact_dedup, near_dedup, token_files
+from . import bpe, exact_dedup, near_dedup, token_files, toxicity
 from .storage import scratch_path, ship_package
 
 #: Vocabulary files are parameters; the package of public tokenizers says where they are.
@@ -66,3 +67,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    """The chain low quality -> toxic, fitted on the labelled documents of ``docs``."""
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    return toxicity.fit_chain(docs, labels, ["low_quality", "toxic"])
+
+
+@register()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
+    return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.Params().threshold)

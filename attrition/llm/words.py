@@ -38,8 +38,12 @@ _BYTE = seeded(11, 256)
 _PLACE = seeded(12, 64) | _U(1)
 
 
-def _span_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of the words in ``data``; no word crosses one of ``edges``."""
+def _span_words(data: np.ndarray, edges: np.ndarray, beginnings: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words in ``data``; no word crosses one of ``edges``.
+
+    Row 0 of the hashes has whole words, each further row the words' first
+    so many bytes (0 where a word is not longer than that).
+    """
     letter = _LETTERS[data]
     edges = edges[(edges >= 0) & (edges <= len(data))]
     before = np.zeros(len(data), bool)
@@ -51,13 +55,17 @@ def _span_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     starts = np.flatnonzero(letter & ~before)
     ends = np.flatnonzero(letter & ~after) + 1
     if not len(starts):
-        return starts, ends, np.zeros(0, _U)
+        return starts, np.zeros((1 + len(beginnings), 0), _U)
     inside = np.flatnonzero(letter)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(inside)) - np.repeat(first, lengths)
     values = mix(_BYTE[data[inside]] + (place // 64).astype(_U)) * _PLACE[place % 64]
-    return starts, ends, mix(np.add.reduceat(values, first) + lengths.astype(_U))
+    hashes = [mix(np.add.reduceat(values, first) + lengths.astype(_U))]
+    for k in beginnings:
+        some = np.add.reduceat(np.where(place < k, values, _U(0)), first)
+        hashes.append(np.where(lengths > k, mix(some + _U(k << 32)), _U(0)))
+    return starts, np.stack(hashes)
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -81,18 +89,23 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = stop
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each word, hash of each word), in text order; null texts have no words."""
+def hashed_words(texts: pa.Array, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each word, hash of each word), in text order; null texts have no words.
+
+    With ``beginnings`` the hashes are a matrix: whole words, then their first
+    so many bytes.
+    """
     texts = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros((1 + len(beginnings), 0), _U)]
     for lo, hi in _spans(data, offsets) if len(texts) else ():
-        starts, _, h = _span_words(data[lo:hi], offsets - lo)
+        starts, h = _span_words(data[lo:hi], offsets - lo, beginnings)
         rows.append(np.searchsorted(offsets, starts + lo, "right") - 1)
         hashes.append(h)
-    return np.concatenate(rows), np.concatenate(hashes)
+    found = np.concatenate(hashes, axis=1)
+    return np.concatenate(rows), found if beginnings else found[0]
 
 
 def shingles(rows: np.ndarray, words: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
