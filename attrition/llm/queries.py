@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, exact_dedup, near_dedup, token_files, toxicity
+from . import bpe, exact_dedup, mixing, near_dedup, token_files, toxicity
 from .storage import scratch_path, ship_package
 
 #: Vocabulary files are parameters; the package of public tokenizers says where they are.
@@ -80,3 +80,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
     return scored.withColumn("toxic", F.col("p_toxic") >= toxicity.Params().threshold)
+
+
+@register()
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
