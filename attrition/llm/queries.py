@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, exact_dedup, mixing, near_dedup, token_files, toxicity
+from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, sharding, token_files, toxicity
 from .storage import scratch_path, ship_package
 
 #: Vocabulary files are parameters; the package of public tokenizers says where they are.
@@ -85,3 +85,37 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    said = "</s>[INST] ok [/INST]"
+    trial = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trial)
+    where = vocabularies.path(RANK_FILE), vocabularies.PATTERN
+    return chat.read_back(chat.format_turns(turns, *where), *where)
+
+
+@register(sql=f"""
+    WITH d AS (SELECT doc_id, coalesce(octet_length(text::BLOB), 0) AS bytes,
+                      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key FROM documents),
+    lv AS (SELECT d.*, level, key >> (60 - level) AS prefix FROM d, range(0, 60) AS r(level)),
+    over AS (SELECT level, prefix FROM lv GROUP BY ALL HAVING sum(bytes) > {sharding.MAX_BYTES} AND count(*) > 1),
+    leaf AS (SELECT lv.doc_id, lv.key, lv.bytes, count(over.level) AS depth
+             FROM lv LEFT JOIN over ON lv.level = over.level AND lv.prefix = over.prefix GROUP BY ALL),
+    s AS (SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(key >> (60 - depth)), depth::INT, '0') END
+                 AS shard FROM leaf)
+    SELECT doc_id, shard, bytes AS doc_bytes, sum(bytes) OVER (PARTITION BY shard)::BIGINT AS shard_bytes,
+           count(*) OVER (PARTITION BY shard) AS shard_docs FROM s""")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.prototypes(docs.where(~langid.held_out("doc_id")))
+    return langid.predict(docs, *model)
