@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, sharding, token_files, toxicity
+from . import ann, bpe, chat, exact_dedup, langid, mixing, near_dedup, sharding, token_files, toxicity
 from .storage import scratch_path, ship_package
 
 #: Vocabulary files are parameters; the package of public tokenizers says where they are.
@@ -100,7 +100,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(sql=f"""
-    WITH d AS (SELECT doc_id, coalesce(octet_length(text::BLOB), 0) AS bytes,
+    WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
                       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key FROM documents),
     lv AS (SELECT d.*, level, key >> (60 - level) AS prefix FROM d, range(0, 60) AS r(level)),
     over AS (SELECT level, prefix FROM lv GROUP BY ALL HAVING sum(bytes) > {sharding.MAX_BYTES} AND count(*) > 1),
@@ -119,3 +119,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.prototypes(docs.where(~langid.held_out("doc_id")))
     return langid.predict(docs, *model)
+
+
+@register()
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
