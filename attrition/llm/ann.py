@@ -215,13 +215,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, p: Params = Params())
 
     Queries travel in blocks, each to every shard of its dimension.
     """
-    queries = queries.dropDuplicates(["id"]).withColumn("dims", F.size("vector"))
-    n = queries.count()
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-n // p.query_block)))).alias("block")
+    queries = queries.dropDuplicates(["id"])
+    blocks = max(1, -(-queries.count() // p.query_block))
     # a row per shard, without the blobs
-    dealt = queries.select("id", "vector", "dims", block).join(F.broadcast(index.select("shard", "dims")), "dims")
-    blocks = dealt.select("dims", "block").distinct()
-    shards = index.join(F.broadcast(blocks), "dims")
+    shards = F.broadcast(index.select(F.col("shard").alias("to_shard"), F.col("dims").alias("to_dims")))
+    dealt = (queries.join(shards, F.size("vector") == F.col("to_dims"))
+             .withColumn("to_block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))))
+    each = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if shard.empty or asked.empty:
@@ -230,8 +230,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, p: Params = Params())
         return _search(shard.iloc[0], asked["id"].to_numpy(np.int64),
                        np.stack(asked["vector"].to_list()).astype(np.float64), k, p)
 
-    keys = ["shard", "dims", "block"]
-    found = shards.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(
+    found = each.groupBy("shard", "dims", "block").cogroup(dealt.groupBy("to_shard", "to_dims", "to_block")).applyInPandas(
         search, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
