@@ -36,9 +36,9 @@ class Params:
     """Points of a shard, edges of a point, beam widths of building and searching, pruning factor, batch, query block."""
 
     shard_rows: int = 4096
-    edges: int = 24
-    build_beam: int = 56
-    search_beam: int = 160
+    edges: int = 32
+    build_beam: int = 64
+    search_beam: int = 320
     alpha: float = 1.2
     batch: int = 256
     query_block: int = 4096
