@@ -13,7 +13,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return (both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b").distinct())
+            .where("a <> b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node with an edge to another; root is the component's smallest node.
+    """(node, root) for every node but the smallest of each component, which is the root of the others.
 
     ``edges`` has columns a and b of one orderable type.  The steps keep the
     components and end in stars, in a number of rounds logarithmic in the size
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     path = scratch_path(spark, "edges")
-    edges = stage_at(edges.where("a <> b").select("a", "b").distinct(), path)
+    edges = stage_at(edges.where("a <> b").select("a", "b"), path)
     seen = None
     while True:
         nxt = scratch_path(spark, "edges")
@@ -44,5 +44,4 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(now) == seen:
             break
         seen = tuple(now)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -10,8 +10,9 @@
    shingles are dealt into one bin per sample, so each is drawn once; a bin
    that stays empty takes a draw of its own over all shingles.  Two documents agree in
    a sample with a probability close to their weighted Jaccard similarity.
-3. Documents that agree in all samples of a band share a bucket.  Within the
-   buckets, pivots are compared with the members that are not known to be
+3. Documents that agree in all samples of a band share a bucket.  Those that
+   hold too little in common with all other candidates together are out of reach
+   of the threshold and leave.  Within the buckets, pivots are compared with the members that are not known to be
    connected with them, until each bucket's members are all connected or all
    compared: no pair is given up, and a large group of near copies costs about
    one comparison a member instead of all pairs.
@@ -30,17 +31,16 @@ by ``classes`` and returned unchanged by ``drop_near_copies``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import discard, scratch_path, stage, stage_at
+from .storage import stage
 from .words import hashed_words, mix, seeded, shingles
 
 _U = np.uint64
@@ -192,15 +192,18 @@ def fingerprint(found: np.ndarray, counts: np.ndarray) -> bytes:
     return np.array([mix(found * _SEEDS[6] + n).sum(dtype=_U), mix(found * _SEEDS[7] ^ n).sum(dtype=_U)], _U).tobytes()
 
 
-def weighted_jaccard(a: tuple, b: tuple, idf: np.ndarray) -> float:
-    """Sum of the smaller over sum of the larger weights, of two bags (shingles ascending, counts)."""
-    both, at, to = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    wa, wb = weights(*a, idf), weights(*b, idf)
-    least = np.minimum(wa[at], wb[to]).sum()
-    most = wa.sum() + wb.sum() - least
+def weighted_jaccard(found_a: np.ndarray, weight_a: np.ndarray, found_b: np.ndarray, weight_b: np.ndarray) -> float:
+    """Sum of the smaller over sum of the larger weights of two bags of distinct shingles."""
+    _, at, to = np.intersect1d(found_a, found_b, assume_unique=True, return_indices=True)
+    least = np.minimum(weight_a[at], weight_b[to]).sum()
+    most = weight_a.sum() + weight_b.sum() - least
     return float(least / most) if most else 0.0
 
 
+#: Room for rounding in bounds on similarities.
+_SLACK = 1e-6
+
+
 # --- Spark jobs
 
 def _signatures(p: Params, idf):
@@ -222,92 +225,112 @@ def _signatures(p: Params, idf):
     return run
 
 
-def _bag_rows(p: Params):
+def _bag_rows(p: Params, idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = idf.value
         for batch in batches:
-            bags = [(fingerprint(f, c), f.tobytes(), c.astype("<u4").tobytes())
+            bags = [(fingerprint(f, c), f.view(np.int64), weights(f, c, table))
                     for f, c in _bags(batch.column(0), p) if len(f)]
             for at in range(0, len(bags), _SLICE):
-                part = list(zip(*bags[at:at + _SLICE]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in part], ["node", "found", "counts"])
+                node, found, weight = zip(*bags[at:at + _SLICE])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(found, pa.list_(pa.int64())),
+                                                  pa.array(weight, pa.list_(pa.float64()))], ["node", "found", "weight"])
 
     return run
 
 
-def _similar(p: Params, idf):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
-        bag = lambda row, s: (np.frombuffer(row["found" + s], _U), np.frombuffer(row["counts" + s], "<u4"))
-        for batch in batches:
-            sims = []
-            for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in ("found_a", "counts_a", "found_b", "counts_b")}
-                sims.append(weighted_jaccard(bag(row, "_a"), bag(row, "_b"), table))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())],
-                                             ["a", "b", "similarity"])
+def _values(column: pa.Array, k: int) -> np.ndarray:
+    return column[k].values.to_numpy(zero_copy_only=False)
 
-    return run
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        side = [[batch.column(f"{name}_{s}") for name in ("found", "weight")] for s in "ab"]
+        sims = [weighted_jaccard(*[_values(column, k) for columns in side for column in columns])
+                for k in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())],
+                                         ["a", "b", "similarity"])
 
 
-def _pivot_pairs(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs to compare, members without this round's pivots) of the buckets that hold several components.
+def _within_reach(bags: DataFrame, p: Params) -> DataFrame:
+    """(node, total, common) of the nodes that can have a link at all.
 
-    ``members`` has key, node and label.  Pivots come from the bucket's
-    smallest components first, so that a large group is never its own pivot
-    while a few strangers are left to compare with it.
+    ``common`` is the weight of the shingles that some other candidate holds as
+    well.  A similarity is at most the smaller ``common`` over the larger
+    ``total``, so a node with less than the threshold in common has no link.
     """
-    bucket = Window.partitionBy("key")
-    open_ = (members.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket))
-             .where("lo <> hi").drop("lo", "hi")
-             .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
-             .withColumn("place", F.row_number().over(bucket.orderBy("n", F.xxhash64("key", "node"), "node"))))
-    open_ = stage(open_.select("key", "node", "label", "place"), "open")
-    chosen = open_.where(F.col("place") <= pivots).select("key", F.col("node").alias("p"), F.col("label").alias("pl"))
-    pairs = (open_.join(chosen, "key").where("label <> pl")
-             .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
-    return pairs, open_.where(F.col("place") > pivots).select("key", "node")
+    each = bags.select("node", F.explode(F.arrays_zip("found", "weight")).alias("x")).select("node", "x.found", "x.weight")
+    several = each.groupBy("found").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("found")
+    common = each.join(several, "found", "left_semi").groupBy("node").agg(F.sum("weight").alias("common"))
+    total = F.aggregate("weight", F.lit(0.0), lambda s, x: s + x)
+    return (bags.select("node", total.alias("total")).join(common, "node")
+            .where(F.col("common") >= F.col("total") * (p.threshold - _SLACK)))
+
+
+def _pivots(members: DataFrame, splits: int) -> DataFrame:
+    """(key, pivots) of the buckets that hold several components; members have key, shade, node, label, total, common.
+
+    A bucket is split ``splits`` times by hash; each part offers a node of its
+    smallest and one of its largest label, so that a few strangers in a large
+    group soon come up.  In the first round (``splits`` is 0) all labels differ
+    and one pivot will do, the same for bands of one shade.  All are partial
+    aggregates: a large bucket meets in no task.
+    """
+    pivot = ("node", "label", "total", "common")
+    if not splits:
+        one = F.min(F.struct(F.xxhash64("node", "shade").alias("order"), *pivot))
+        return (members.groupBy("key").agg(one.alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                .select("key", F.array(F.struct(*[f"p.{c}" for c in pivot])).alias("pivots")))
+    order = F.xxhash64("key", "node")
+    entry = F.struct("label", order.alias("order"), "node", "total", "common")
+    parts = members.groupBy("key", F.pmod(order, F.lit(splits)).alias("part")).agg(
+        F.min(entry).alias("lo"), F.max(entry).alias("hi"))
+    both = [F.collect_list(F.struct(*[f"{x}.{c}" for c in pivot])).alias(f"{x}s") for x in ("lo", "hi")]
+    return (parts.groupBy("key").agg(F.min("lo.label").alias("least"), F.max("hi.label").alias("most"), *both)
+            .where("least <> most").select("key", F.array_union("los", "his").alias("pivots")))
 
 
 def find_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: Params, idf) -> DataFrame | None:
-    """(node, root) of the nodes with links; None if there are none."""
+    """(node, root) of the nodes that are linked with a smaller one; None if there are none."""
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
     placed = nodes.select("node", "id", F.posexplode("keys").alias("band", "key"))
-    placed = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    placed = stage(placed.select("key", "band", "node", "id"), "buckets")
+    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    placed = stage(placed.join(shared, "key", "left_semi").select("key", (F.col("band") % 4).alias("shade"), "node", "id"),
+                   "buckets")
     wanted = placed.select("id").distinct()
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, texts.doc.eqNullSafe(wanted.id), "left_semi").select("text")
-    bags = texts.mapInArrow(_bag_rows(p), "node binary, found binary, counts binary").dropDuplicates(["node"])
-    bags = stage(bags.join(placed.select("node").distinct(), "node", "left_semi"), "bags")
-    left = bags.select(F.col("node").alias("a"), F.col("found").alias("found_a"), F.col("counts").alias("counts_a"))
-    right = bags.select(F.col("node").alias("b"), F.col("found").alias("found_b"), F.col("counts").alias("counts_b"))
-
-    members, roots, compared, links, round_ = placed.select("key", "band", "node"), None, None, None, 0
+    bags = stage(texts.mapInArrow(_bag_rows(p, idf), "node binary, found array<bigint>, weight array<double>")
+                 .dropDuplicates(["node"]), "bags")
+    left, right = (bags.select(F.col("node").alias(s), F.col("found").alias(f"found_{s}"),
+                               F.col("weight").alias(f"weight_{s}")) for s in "ab")
+    members = stage(placed.drop("id").join(_within_reach(bags, p), "node"), "members")
+    # an intersection is at most the smaller common weight, and t / (1 + t) of both totals in a link
+    close = F.expr("filter(pivots, x -> x.label <> label AND least(x.common, common) >= "
+                   f"(x.total + total) * {p.threshold / (1 + p.threshold) - _SLACK}D)")
+    roots, splits = None, 0
     while True:
-        # the first round looks at some bands only: most groups come together there, and the later
-        # rounds then compare members of different components alone
-        now = members.where(F.col("band") < 4).drop("band") if round_ == 0 else members.drop("band")
-        if roots is None:
-            labelled = now.withColumn("label", F.col("node"))
-        else:
-            labelled = (now.join(roots, "node", "left")
-                        .select("key", "node", F.coalesce("root", "node").alias("label")))
-        pairs, rest = _pivot_pairs(labelled, 1 << max(0, round_ - 1))
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        label = F.col("node")
+        if roots is not None:
+            members, label = members.join(roots, "node", "left"), F.coalesce("root", "node")
+        labelled = members.withColumn("label", label).drop("root")
+        pivots = stage(_pivots(labelled, splits), "pivots")
+        if pivots.isEmpty():
+            return roots
+        open_ = labelled.join(pivots, "key")
+        pairs = (open_.select("node", F.explode(close).alias("pivot"))
+                 .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
         judged = stage(pairs.join(left, "a").join(right, "b")
-                       .mapInArrow(_similar(p, idf), "a binary, b binary, similarity double"), "compared")
-        n, linked = judged.agg(F.count(F.lit(1)), F.count_if(F.col("similarity") >= p.threshold)).first()
-        if linked:
-            new = judged.where(F.col("similarity") >= p.threshold).select("a", "b")
-            links = new if links is None else links.unionByName(new)
-            roots = components(links)
-        compared = judged if compared is None else compared.unionByName(judged)
-        if round_:
-            members = rest.withColumn("band", F.lit(0))
-            if rest.isEmpty():
-                return roots
-        round_ += 1
+                       .mapInArrow(_similar, "a binary, b binary, similarity double"), "compared")
+        links = judged.where(F.col("similarity") >= p.threshold).select("a", "b")
+        # pivots have met every member with another label
+        members = stage(open_.where(~F.exists("pivots", lambda x: x.node == F.col("node")))
+                        .drop("label", "pivots").withColumn("shade", F.lit(0)), "members")
+        if not links.isEmpty():
+            known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"),
+                                                                               F.col("root").alias("b")))
+            roots = components(known)
+        splits = max(8, 16 * splits)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
