@@ -66,8 +66,10 @@ class Params:
 
 #: Rows of an Arrow batch that are worked on together.
 _SLICE = 256
-#: Parts in which the frequency table travels.
+#: Parts in which tables of fixed size travel.
 _PARTS = 64
+#: Bits of the table that tells candidates' texts from others.
+_BITS = 1 << 24
 
 
 def _bags(texts: pa.Array, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -225,20 +227,56 @@ def _signatures(p: Params, idf):
     return run
 
 
-def _bag_rows(p: Params, idf):
+def _bag_rows(p: Params, idf, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
+        table, wanted = idf.value, bits.value
         for batch in batches:
-            bags = [(fingerprint(f, c), f.view(np.int64), weights(f, c, table))
-                    for f, c in _bags(batch.column(0), p) if len(f)]
+            at = batch.column(0).to_numpy()
+            texts = batch.column(1).filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            bags = [(fingerprint(f, c), f.view(np.int64), weights(f, c, table).astype(np.float32))
+                    for f, c in _bags(texts, p) if len(f)]
             for at in range(0, len(bags), _SLICE):
                 node, found, weight = zip(*bags[at:at + _SLICE])
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(found, pa.list_(pa.int64())),
-                                                  pa.array(weight, pa.list_(pa.float64()))], ["node", "found", "weight"])
+                                                  pa.array(weight, pa.list_(pa.float32()))], ["node", "found", "weight"])
 
     return run
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(_BITS // 8, np.uint8)
+    for batch in batches:
+        at = batch.column(0).to_numpy()
+        np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    for k, part in enumerate(np.split(table, _PARTS)):
+        if part.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "bits": pa.array([part.tobytes()])})
+
+
+def _add_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            part = np.frombuffer(row["bits"], np.uint8)
+            total[row["part"]] = total[row["part"]] | part if row["part"] in total else part
+    for k, part in total.items():
+        yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "bits": pa.array([part.tobytes()])})
+
+
+def _place(column) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(_BITS))
+
+
+def candidate_bits(ids: DataFrame) -> np.ndarray:
+    """One bit per hash place, set for the ids of the one-column frame; ``_BITS / 8`` bytes at any input size."""
+    marks = ids.select(_place(F.col(ids.columns[0])).alias("at")).mapInArrow(_mark, "part int, bits binary")
+    table = np.zeros(_BITS // 8, np.uint8)
+    size = len(table) // _PARTS
+    for row in marks.repartition(_PARTS, "part").mapInArrow(_add_marks, "part int, bits binary").collect():
+        table[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return table
+
+
 def _values(column: pa.Array, k: int) -> np.ndarray:
     return column[k].values.to_numpy(zero_copy_only=False)
 
@@ -259,16 +297,17 @@ def _within_reach(bags: DataFrame, p: Params) -> DataFrame:
     well.  A similarity is at most the smaller ``common`` over the larger
     ``total``, so a node with less than the threshold in common has no link.
     """
-    each = bags.select("node", F.explode(F.arrays_zip("found", "weight")).alias("x")).select("node", "x.found", "x.weight")
+    each = (bags.select(F.xxhash64("node").alias("n64"), F.explode(F.arrays_zip("found", "weight")).alias("x"))
+            .select("n64", "x.found", "x.weight"))
     several = each.groupBy("found").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("found")
-    common = each.join(several, "found", "left_semi").groupBy("node").agg(F.sum("weight").alias("common"))
+    common = each.join(several, "found", "left_semi").groupBy("n64").agg(F.sum("weight").alias("common"))
     total = F.aggregate("weight", F.lit(0.0), lambda s, x: s + x)
-    return (bags.select("node", total.alias("total")).join(common, "node")
+    return (bags.select("node", F.xxhash64("node").alias("n64"), total.alias("total")).join(common, "n64").drop("n64")
             .where(F.col("common") >= F.col("total") * (p.threshold - _SLACK)))
 
 
 def _pivots(members: DataFrame, splits: int) -> DataFrame:
-    """(key, pivots) of the buckets that hold several components; members have key, shade, node, label, total, common.
+    """(key, pivots) of the buckets that hold several components; members have key, keys, shade, node, label, total, common.
 
     A bucket is split ``splits`` times by hash; each part offers a node of its
     smallest and one of its largest label, so that a few strangers in a large
@@ -276,13 +315,13 @@ def _pivots(members: DataFrame, splits: int) -> DataFrame:
     and one pivot will do, the same for bands of one shade.  All are partial
     aggregates: a large bucket meets in no task.
     """
-    pivot = ("node", "label", "total", "common")
+    pivot = ("node", "label", "total", "common", "keys")
     if not splits:
         one = F.min(F.struct(F.xxhash64("node", "shade").alias("order"), *pivot))
         return (members.groupBy("key").agg(one.alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
                 .select("key", F.array(F.struct(*[f"p.{c}" for c in pivot])).alias("pivots")))
     order = F.xxhash64("key", "node")
-    entry = F.struct("label", order.alias("order"), "node", "total", "common")
+    entry = F.struct("label", order.alias("order"), "node", "total", "common", "keys")
     parts = members.groupBy("key", F.pmod(order, F.lit(splits)).alias("part")).agg(
         F.min(entry).alias("lo"), F.max(entry).alias("hi"))
     both = [F.collect_list(F.struct(*[f"{x}.{c}" for c in pivot])).alias(f"{x}s") for x in ("lo", "hi")]
@@ -297,17 +336,18 @@ def find_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     placed = stage(placed.join(shared, "key", "left_semi").select("key", (F.col("band") % 4).alias("shade"), "node", "id"),
                    "buckets")
-    wanted = placed.select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, texts.doc.eqNullSafe(wanted.id), "left_semi").select("text")
-    bags = stage(texts.mapInArrow(_bag_rows(p, idf), "node binary, found array<bigint>, weight array<double>")
+    bits = docs.sparkSession.sparkContext.broadcast(candidate_bits(placed.select("id")))
+    texts = docs.select(_place(F.col(id_col)).alias("at"), F.col(text_col).alias("text"))
+    bags = stage(texts.mapInArrow(_bag_rows(p, idf, bits), "node binary, found array<bigint>, weight array<float>")
                  .dropDuplicates(["node"]), "bags")
-    left, right = (bags.select(F.col("node").alias(s), F.col("found").alias(f"found_{s}"),
-                               F.col("weight").alias(f"weight_{s}")) for s in "ab")
-    members = stage(placed.drop("id").join(_within_reach(bags, p), "node"), "members")
+    members = stage(placed.drop("id").join(_within_reach(bags, p), "node").join(
+        signed.where("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys")), "node"), "members")
     # an intersection is at most the smaller common weight, and t / (1 + t) of both totals in a link
-    close = F.expr("filter(pivots, x -> x.label <> label AND least(x.common, common) >= "
-                   f"(x.total + total) * {p.threshold / (1 + p.threshold) - _SLACK}D)")
+    reach = ("x.label <> label AND least(x.common, common) >= "
+             f"(x.total + total) * {p.threshold / (1 + p.threshold) - _SLACK}D")
+    # after the first round a pair is the business of the first band in which it agrees, where it comes up
+    # as long as that bucket is open
+    first = "array_position(zip_with(keys, x.keys, (i, j) -> i = j), true) = array_position(keys, key)"
     roots, splits = None, 0
     while True:
         label = F.col("node")
@@ -318,8 +358,13 @@ def find_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
         if pivots.isEmpty():
             return roots
         open_ = labelled.join(pivots, "key")
+        close = F.expr(f"filter(pivots, x -> {reach}{f' AND {first}' if splits else ''})")
         pairs = (open_.select("node", F.explode(close).alias("pivot"))
                  .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
+        if splits <= 8:  # later rounds are about ever fewer nodes
+            bags = stage(bags.join(open_.select("node").distinct(), "node", "left_semi"), "bags")
+        left, right = (bags.select(F.col("node").alias(s), F.col("found").alias(f"found_{s}"),
+                                   F.col("weight").alias(f"weight_{s}")) for s in "ab")
         judged = stage(pairs.join(left, "a").join(right, "b")
                        .mapInArrow(_similar, "a binary, b binary, similarity double"), "compared")
         links = judged.where(F.col("similarity") >= p.threshold).select("a", "b")
