@@ -70,8 +70,8 @@ def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.n
         nearest = np.argsort(np.where(opened, np.inf, dist), axis=1)[:, :width]
         fresh = ~opened[line, nearest]
         opened[line, nearest] = True
-        found = np.where(fresh[:, :, None], graph[ids[line, nearest]], n).reshape(q, -1)
-        found = np.where(found < 0, n, found)
+        found = np.where(fresh[:, :, None], graph[np.clip(ids[line, nearest], 0, n - 1)], n).reshape(q, -1)
+        found = np.where(found < 0, n, found)  # n: no point
         found.sort(axis=1)
         again = seen[line, found]
         again[:, 1:] |= found[:, 1:] == found[:, :-1]
