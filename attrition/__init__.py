@@ -7,7 +7,6 @@ built on Spark SQL / Spark ML. Sub-packages:
 * ``functions`` – column expressions and distributed ranking helpers
 * ``operators`` – aggregation, profiling, sampling, modelling, scoring
 * ``plans``     – the registered query catalogue and its SQL oracles
-* ``streaming`` – incremental account aggregation with Structured Streaming
 """
 
 __version__ = "0.1.0"

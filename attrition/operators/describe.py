@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,38 +37,102 @@ def describe_columns(df: DataFrame, cols: list[str], by: list[str] = ()) -> Data
         *by, "column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
+def _moment_sums(cols: list[str], shift: list[float]):
+    """Partial sums per class for Pearson's r over pairwise present values (float64, shifted by a value per column)."""
+    d = len(cols)
+
+    def sum_rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
+                                           pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+                                          ["class", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols]) - shift
+            classes = np.asarray(batch.column("_class"))
+            for k in np.unique(classes):
+                part = x[classes == k]
+                there = ~np.isnan(part)
+                part, there = np.where(there, part, 0.0), there.astype(np.float64)
+                # per pair (a, b): rows, sum of a, sum of squares of a, sum of products
+                new = np.stack([there.T @ there, part.T @ there, (part * part).T @ there, part.T @ part])
+                sums[int(k)] = sums[int(k)] + new if int(k) in sums else new
+        yield sum_rows(sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                new = np.frombuffer(row["sums"]).reshape(4, d, d)
+                sums[row["class"]] = sums[row["class"]] + new if row["class"] in sums else new
+        yield sum_rows(sums)
+
+    return run, add
+
+
+def correlation_sums(df: DataFrame, cols: list[str], label: str | None = None) -> dict[int, np.ndarray]:
+    """Moment sums per class (0: label 0, 1: label above 0, 2: any other), each d x d, in one pass over the rows.
+
+    A first small aggregate gives the columns' means, which only shift the
+    values (the sums then keep their digits). NaN counts as missing.
+    """
+    cols = list(cols)
+    as_double = [F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in cols]
+    y = F.col(label).cast("double") if label else F.lit(None).cast("double")
+    group = F.when(y > 0, 1).when(y == 0, 0).otherwise(2).cast("int").alias("_class")
+    base = df.select(*as_double, group)
+    means = base.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    run, add = _moment_sums(cols, [float(means[c] or 0.0) for c in cols])
+    schema = "class int, sums binary"
+    rows = base.mapInArrow(run, schema).repartition("class").mapInArrow(add, schema).collect()  # at most 3 rows
+    return {r["class"]: np.frombuffer(r["sums"]).reshape(4, len(cols), len(cols)) for r in rows}
+
+
+def correlation_from_sums(sums: np.ndarray) -> np.ndarray:
+    """Pearson matrix over pairwise present values; NaN where a variance is zero."""
+    n, sa, saa, sab = sums
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = n * sab - sa * sa.T
+        va, vb = n * saa - sa * sa, (n * saa - sa * sa).T
+        va, vb = (np.where(v <= 1e-12 * n * s, 0.0, v) for v, s in ((va, saa), (vb, saa.T)))
+        return np.where(va * vb > 0, np.clip(cov / np.sqrt(va * vb), -1.0, 1.0), np.nan)
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
-    """Pearson matrix of ``cols`` (one distributed pass; the d x d result is small)."""
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="keep").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    m = Correlation.corr(vec, "_v", "pearson").first()[0]
-    return m.toArray()
+    """Pearson matrix of ``cols`` over pairwise present values (one distributed pass; the d x d result is small)."""
+    found = correlation_sums(df, cols)
+    return correlation_from_sums(sum(found.values())) if found else np.full((len(cols), len(cols)), np.nan)
 
 
-def correlation_long(df: DataFrame, cols: list[str], slice_name: str = "all",
-                     lower_only: bool = True) -> DataFrame:
-    """(slice, a, b, r) for the strict lower triangle (b before a in ``cols``); NaN -> null."""
-    mat = correlation_matrix(df, cols)
+def _matrix_rows(mat: np.ndarray, cols: list[str], slice_name: str, lower_only: bool) -> list[tuple]:
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            if lower_only and j >= i:
-                continue
-            r = float(mat[i, j])
-            rows.append((slice_name, a, b, None if math.isnan(r) else r))
-    return df.sparkSession.createDataFrame(rows, "slice string, a string, b string, r double")
+            if not (lower_only and j >= i):
+                r = float(mat[i, j])
+                rows.append((slice_name, a, b, None if math.isnan(r) else r))
+    return rows
+
+
+_MATRIX_SCHEMA = "slice string, a string, b string, r double"
+
+
+def correlation_long(df: DataFrame, cols: list[str], slice_name: str = "all",
+                     lower_only: bool = True) -> DataFrame:
+    """(slice, a, b, r) for the strict lower triangle (b before a in ``cols``); NaN -> null."""
+    rows = _matrix_rows(correlation_matrix(df, cols), list(cols), slice_name, lower_only)
+    return df.sparkSession.createDataFrame(rows, _MATRIX_SCHEMA)
 
 
 def correlation_by_class(df: DataFrame, cols: list[str], label: str) -> DataFrame:
-    """Correlations on all rows, on positives (label > 0) and on negatives (label == 0)."""
-    base = df.select(*{*cols, label})
-    parts = [correlation_long(base, cols, "all"),
-             correlation_long(base.where(F.col(label) > 0), cols, "positive"),
-             correlation_long(base.where(F.col(label) == 0), cols, "negative")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Correlations on all rows, on positives (label > 0) and on negatives (label == 0), from one pass by class."""
+    cols = list(cols)
+    found = correlation_sums(df, cols, label)
+    none = np.zeros((4, len(cols), len(cols)))
+    parts = {"all": sum(found.values(), none), "positive": found.get(1, none), "negative": found.get(0, none)}
+    rows = [r for name, sums in parts.items() for r in _matrix_rows(correlation_from_sums(sums), cols, name, True)]
+    return df.sparkSession.createDataFrame(rows, _MATRIX_SCHEMA)
 
 
 def melt(df: DataFrame, id_cols: list[str], value_cols: list[str], var_name: str = "variable",

@@ -10,34 +10,18 @@ from ..functions.expressions import dlit, q
 from ..functions.ranking import exact_quantiles
 
 
-MAX_LEVELS = 10_000
-
-
-def check_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> None:
-    """Refuse to index columns with more than ``max_levels`` levels.
-
-    Fitting an indexer brings every level to the driver; one small HLL
-    aggregate bounds that list before it is built.
-    """
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    wide = {c: row[c] for c in cols if row[c] > max_levels}
-    if wide:
-        raise ValueError(f"too many levels to one-hot encode (limit {max_levels}): {wide}")
-
-
 def encode_features(df: DataFrame, cat_features: list[str], suffix: str = "ohe",
-                    drop_last: bool = True, handle_invalid: str = "error",
-                    max_levels: int = MAX_LEVELS) -> tuple[DataFrame, dict[str, list[str]]]:
+                    drop_last: bool = True, handle_invalid: str = "error") -> tuple[DataFrame, dict[str, list[str]]]:
     """Index each categorical by descending frequency (ties alphabetical) and one-hot encode it.
 
     Output column ``<col><suffix>`` (no separator). Returns the frame and, per
     encoded column, its level names without the dropped last level. With the
     default ``handle_invalid="error"`` the dropped slot is the least frequent
     level (``"keep"`` would add an invalid slot and drop that one instead).
+    The fitted indexer holds every level in the driver, whatever their number.
     """
     if not cat_features:
         return df, {}
-    check_levels(df, list(cat_features), max_levels)
     idx_cols = [f"{c}_index" for c in cat_features]
     out_cols = [f"{c}{suffix}" for c in cat_features]
     indexer = StringIndexer(inputCols=list(cat_features), outputCols=idx_cols,
@@ -50,9 +34,8 @@ def encode_features(df: DataFrame, cat_features: list[str], suffix: str = "ohe",
     return encoded, labels
 
 
-def level_table(df: DataFrame, column: str, drop_last: bool = True, max_levels: int = MAX_LEVELS) -> DataFrame:
+def level_table(df: DataFrame, column: str, drop_last: bool = True) -> DataFrame:
     """(level, count, index, slot) of a categorical: slot is the one-hot position, null for the dropped level."""
-    check_levels(df, [column], max_levels)
     model = StringIndexer(inputCol=column, outputCol="_idx", stringOrderType="frequencyDesc").fit(df)
     levels = list(model.labels)
     n = len(levels)

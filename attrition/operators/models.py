@@ -7,6 +7,7 @@ written as distributed moment aggregates plus a small driver-side solve
 * ``LinearDiscriminant`` – class means and pooled covariance, two passes;
 * ``GaussianNaiveBayes`` – per-class mean / variance, log-likelihood argmax;
 * ``SGDLogistic`` – one gradient aggregate per epoch, step ``eta0 / t^power_t``;
+* ``NearestNeighbours`` – a bounded, broadcast sample of the training rows, scored in Arrow batches;
 * ``RandomFeatureSVM`` – random Fourier features (RBF kernel) + ``LinearSVC``.
 
 Custom models take SQL feature expressions (column names or e.g.
@@ -17,8 +18,10 @@ binary labels) and ``prediction``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
     RandomForestClassifier,
@@ -311,3 +314,57 @@ class RandomFeatureSVM:
         finally:
             train.unpersist()
         return model
+
+
+# ---------------------------------------------------------------- k nearest neighbours
+
+
+class NearestNeighboursModel:
+    """Share of class 1 among the ``k`` nearest training rows (Euclidean; ties to the smaller id)."""
+
+    def __init__(self, exprs: list[str], points: np.ndarray, labels: np.ndarray, k: int):
+        self.exprs, self.points, self.labels, self.k = exprs, points, labels, k
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        k = min(self.k, len(self.points))
+        model = df.sparkSession.sparkContext.broadcast((self.points, self.labels, (self.points ** 2).sum(axis=1)))
+
+        @F.pandas_udf("double")
+        def share(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            points, labels, squares = model.value
+            for rows in frames:
+                x = np.stack(rows.to_list()).astype(np.float64) if len(rows) else np.zeros((0, points.shape[1]))
+                out = np.full(len(x), np.nan)
+                for at in range(0, len(x) if k else 0, 256):
+                    part = x[at:at + 256]
+                    d = np.round((part ** 2).sum(axis=1)[:, None] + squares - 2.0 * part @ points.T, 9)
+                    last = np.partition(d, k - 1, axis=1)[:, k - 1:k]
+                    nearer, equal = d < last, d == last
+                    take = nearer | (equal & (np.cumsum(equal, axis=1) <= k - nearer.sum(axis=1, keepdims=True)))
+                    out[at:at + 256] = take @ labels / k
+                yield pd.Series(out)
+
+        vector = F.expr("array(" + ", ".join(f"CAST({e} AS DOUBLE)" for e in self.exprs) + ")")
+        return (df.withColumn("score", share(vector))
+                .withColumn("prediction", (F.col("score") > 0.5).cast("double")))
+
+
+class NearestNeighbours:
+    """k nearest neighbours over at most ``max_rows`` training rows, those of smallest id hash.
+
+    The kept rows are the model: ``max_rows`` x features doubles, collected and
+    broadcast, whatever the size of the training table. Scoring is linear in
+    the scored rows and needs no join. Rows with a null feature or label are
+    not used for training.
+    """
+
+    def __init__(self, features, k: int = 10, max_rows: int = 20_000, id_col: str = "id", label: str = "label"):
+        self.exprs, self.k, self.max_rows, self.id_col, self.label = _expr_list(features), k, max_rows, id_col, label
+
+    def fit(self, df: DataFrame) -> NearestNeighboursModel:
+        vector = F.expr("array(" + ", ".join(f"CAST({e} AS DOUBLE)" for e in self.exprs) + ")")
+        rows = df.select(F.col(self.id_col).alias("id"), vector.alias("x"), F.col(self.label).cast("double").alias("y"))
+        rows = rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+        kept = rows.orderBy(F.xxhash64("id"), "id").limit(self.max_rows).toArrow().sort_by("id")
+        points = np.array(kept.column("x").to_pylist(), np.float64).reshape(kept.num_rows, len(self.exprs))
+        return NearestNeighboursModel(self.exprs, points, kept.column("y").to_numpy(), self.k)

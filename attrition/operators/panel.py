@@ -75,11 +75,12 @@ def spot_check_all(panel: DataFrame, table: DataFrame, columns: list[str], key:
     """The spot check for every account at once: the panel re-averaged next to the stored table.
 
     Returns key, ``avg_<c>`` recomputed from the panel, ``<c>`` from the table and
-    ``matches`` (all equal up to 1e-9).
+    ``matches`` (all equal up to a relative 1e-9).
     """
     again = panel.groupBy(key).agg(*[F.avg(c).alias(f"avg_{c}") for c in columns])
     both = again.join(table.select(key, *columns), key, "inner")
     ok = F.lit(True)
     for c in columns:
-        ok = ok & (F.abs(F.coalesce(F.col(f"avg_{c}") - F.col(c), F.lit(0.0))) <= F.lit(1e-9))
+        size = F.greatest(F.abs(F.col(f"avg_{c}")), F.abs(F.col(c)), F.lit(1.0))
+        ok = ok & F.coalesce(F.abs(F.col(f"avg_{c}") - F.col(c)) <= size * 1e-9, F.lit(True))
     return both.withColumn("matches", ok)

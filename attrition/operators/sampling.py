@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import hash_fold, uniform_fold
 from ..functions.ranking import ranked
+from .clean import split_half_open
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -72,9 +73,7 @@ def with_uniform_column(df: DataFrame, seed: int = 46, column: str = "uid_rand")
 
 def fold_filter(df: DataFrame, k: int, i: int, column: str = "uid_rand") -> tuple[DataFrame, DataFrame]:
     """(validation, train) for fold ``i`` of a uniform column: validation = [i/k, (i+1)/k)."""
-    lo, hi = i / k, (i + 1) / k
-    cond = (F.col(column) >= F.lit(lo)) & (F.col(column) < F.lit(hi))
-    return df.where(cond), df.where(~cond)
+    return split_half_open(df, column, i / k, (i + 1) / k)
 
 
 def with_stratified_folds(df: DataFrame, label: str, keys: list[str], k: int, seed: int = 46,

@@ -132,6 +132,12 @@ def q_corr_by_class(t: Inputs):
     return finish(D.correlation_by_class(frame, _RATIO_BLOCK, EXPLORATORY_LABEL))
 
 
+@query("corr_by_class_raw", "A16 A17 A18 (raw features: all / leaving / staying)",
+       sql=with_ctes(_corr_sql("explore", [*FEATS, EXPLORATORY_LABEL], _SLICES), "explore"))
+def q_corr_by_class_raw(t: Inputs):
+    return finish(D.correlation_by_class(t.stored("explore"), [*FEATS, EXPLORATORY_LABEL], EXPLORATORY_LABEL))
+
+
 @query("rate_by_indicator", "R1 A19",
        sql=with_ctes(f"select variable, {r4('value')} as value, {r4('avg(Churn)')} as rate, count(*) as n from "
                      f"(unpivot (select Churn, {', '.join(INDICATOR_COLS)} from explore) on {', '.join(INDICATOR_COLS)} "

@@ -13,6 +13,7 @@ from ..operators import models as M
 from ..operators import sampling as S
 from ..operators import score as SC
 from ..operators import select as SEL
+from ..sources.staging import stage
 from ..schema import DASHBOARD_DRIVERS, KEY, PREDICTION_COL, SCORE_COL
 from .catalogue_explore import _q
 from .inputs import Inputs, finish
@@ -155,8 +156,8 @@ def model_frame(t: Inputs, k: int = 3) -> DataFrame:
     scaler = FE.StandardScalerColumns(FEATS).fit(table.where(F.col("split") == "train"))
     data = FE.assemble_features(scaler.transform(table), FEATS, output_col=M.FEATURES)
     data = S.with_hash_folds(data, [KEY], k)
-    # many passes follow (fits, folds): materialise once in the checkpoint folder
-    return data.checkpoint(eager=True)
+    # many passes follow (fits, folds): keep what they read, stored once in the shared folder
+    return stage(data.select(KEY, "label", "split", "fold", *FEATS, M.FEATURES), "model_frame")
 
 
 def train_rows(data: DataFrame) -> DataFrame:
@@ -393,3 +394,17 @@ def _analysis_sql() -> str:
 def q_driver_analysis(t: Inputs):
     return finish(DR.driver_analysis(t.stored("scored"), DRIVERS))
 
+
+_DIMS = 64
+
+
+@query("knn_vote", "C6 (10 nearest neighbours of every vector, itself included; training rows within the bound)",
+       sql=f"select vec_id, {r4('avg(y)')} as score, cast(avg(y) > 0.5 as double) as prediction from ("
+           "select a.vec_id, case when b.label < 5 then 1.0 else 0.0 end as y, row_number() over (partition by a.vec_id "
+           "order by round(list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), 9), b.vec_id) as place "
+           "from embeddings a, embeddings b) z where place <= 10 group by vec_id")
+def q_knn_vote(t: Inputs):
+    rows = t.embeddings.withColumn("y", (F.col("label") < 5).cast("double"))
+    features = [f"element_at(embedding, {i + 1})" for i in range(_DIMS)]
+    model = M.NearestNeighbours(features, k=10, id_col="vec_id", label="y").fit(rows)
+    return finish(model.transform(rows).select("vec_id", "score", "prediction"))

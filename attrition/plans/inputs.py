@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from ..functions.expressions import q
 from ..operators import panel as P
 from ..sources import fixtures, tables
+from ..sources.staging import stage
 
 
 class Inputs:
@@ -59,14 +60,14 @@ class Inputs:
         return fixtures.scored_accounts(self.account_means)
 
     def stored(self, name: str) -> DataFrame:
-        """A derived table written once to the checkpoint folder (for analyses that read it many times).
+        """A derived table written once to the shared folder (for analyses that read it many times).
 
         The same step as saving the account table before profiling it: later
-        passes read the written rows instead of re-running the derivation.
+        passes read the columns they need instead of re-running the derivation.
         """
         key = f"_stored_{name}"
         if key not in self.__dict__:
-            self.__dict__[key] = getattr(self, name).checkpoint(eager=True)
+            self.__dict__[key] = stage(getattr(self, name), name)
         return self.__dict__[key]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -35,16 +37,16 @@ def read_catalog_table(spark: SparkSession, name: str, database: str | None = No
     return spark.table(f"{database}.{name}" if database else name)
 
 
-def query_view(df: DataFrame, view: str, sql: str) -> DataFrame:
-    """Register ``df`` as a temporary view, run SQL text over it, drop the view.
+def query_view(df: DataFrame, sql: str) -> DataFrame:
+    """Run SQL text over ``df``, which the text calls ``{view}``, through a temporary view of a new name.
 
     The result is materialised lazily like any plan: the view name is resolved
     when the SQL is analysed, so dropping it afterwards is safe.
     """
-    spark = df.sparkSession
-    df.createOrReplaceTempView(view)
+    spark, view = df.sparkSession, f"view_{uuid.uuid4().hex}"
+    df.createTempView(view)
     try:
-        return spark.sql(sql)
+        return spark.sql(sql.replace("{view}", view))
     finally:
         spark.catalog.dropTempView(view)
 

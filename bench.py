@@ -21,6 +21,7 @@ from attrition.operators import evaluate as EV  # noqa: E402
 from attrition.operators import models as M  # noqa: E402
 from attrition.plans import Inputs, runner  # noqa: E402
 from attrition.plans.catalogue_models import FEATS, model_frame, train_rows  # noqa: E402
+from attrition.schema import KEY  # noqa: E402
 from attrition.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -39,6 +40,7 @@ CV_MODELS = {
     "cv5_random_forest": lambda: M.random_forest(20),
     "cv5_extra_trees": lambda: M.extra_trees(20),
     "cv5_sgd_logistic": lambda: M.SGDLogistic(FEATS),
+    "cv5_knn": lambda: M.NearestNeighbours(FEATS, k=10, id_col=KEY),
     "cv5_gradient_boosting": lambda: M.gradient_boosting(100),
 }
 

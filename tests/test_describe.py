@@ -60,3 +60,20 @@ def test_profile_report_order(spark):
     df = spark.createDataFrame([(1.0,), (2.0,)], "x double")
     rep = PR.profile_report(PR.profile(df, exact=True), "x").collect()
     assert [r["statistic"] for r in rep] == list(PR.STAT_ORDER)
+
+
+def test_correlation_over_pairwise_present_values(spark):
+    import numpy as np
+    import pandas as pd
+
+    from attrition.operators import describe as D
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e6, 3.0, size=(200, 3))
+    x[:, 1] += x[:, 0]
+    x[rng.random((200, 3)) < 0.2] = np.nan
+    frame = pd.DataFrame(x, columns=list("abc")).assign(d=7.0)
+    rows = [tuple(None if v != v else float(v) for v in r) for r in frame.to_numpy()]
+    got = D.correlation_matrix(spark.createDataFrame(rows, "a double, b double, c double, d double"), list("abcd"))
+    want = frame.corr().to_numpy()
+    assert np.allclose(got[:3, :3], want[:3, :3], atol=1e-9) and np.isnan(got[3]).all()

@@ -134,7 +134,35 @@ def test_scaled_box_has_unit_iqr(drivers_small):
     assert "d2" not in box  # IQR 0: no finite scale, no box
 
 
-def test_encoding_refuses_unbounded_levels(spark):
-    df = spark.range(500).selectExpr("cast(id as string) as v")
-    with pytest.raises(ValueError):
-        FE.encode_features(df, ["v"], max_levels=100)
+def test_encoding_has_no_level_limit(spark):
+    df = spark.range(10_100).selectExpr("cast(id as string) as v")
+    _, labels = FE.encode_features(df, ["v"])
+    assert len(labels["vohe"]) == 10_099
+
+
+def test_nearest_neighbours_against_brute_force(spark):
+    import numpy as np
+
+    from attrition.operators import models as M
+
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 4, size=(120, 3)).astype(float), rng.integers(0, 2, 120)
+    rows = [(i, *map(float, x[i]), int(y[i])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, label int")
+    got = {r["id"]: r["score"] for r in M.NearestNeighbours(["a", "b", "c"], k=7).fit(df).transform(df).collect()}
+    for i in range(120):
+        near = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in range(120))[:7]
+        assert got[i] == pytest.approx(np.mean([y[j] for _, j in near]))
+    assert len(M.NearestNeighbours(["a"], k=3, max_rows=50).fit(df).points) == 50
+
+
+def test_cross_validation_leaves_the_callers_cache(spark):
+    from attrition.operators import evaluate as EV
+    from attrition.operators import models as M
+
+    df = spark.createDataFrame([(i, float(i % 7), i % 2, i % 3) for i in range(60)],
+                               "id long, a double, label int, fold int").persist()
+    df.count()
+    EV.cross_validate(df, lambda: M.NearestNeighbours(["a"], k=3))
+    assert df.storageLevel.useMemory
+    df.unpersist()

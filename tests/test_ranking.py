@@ -84,3 +84,17 @@ def test_null_group_is_kept_on_the_range_path(spark):
     df = spark.createDataFrame(rows, "g string, x double")
     q = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "x", {"m": 0.5}, n_buckets=4).collect()}
     assert q == {None: 24.5, "a": 14.5}
+
+
+def test_more_than_256_ranges_and_100001_groups(spark):
+    """Ranges are as many as asked for and hold their share; groups have no limit."""
+    from attrition.functions import ranking as R
+
+    df = spark.range(20_000).selectExpr("cast(id as double) as x", "1L as _n")
+    keyed = R.ranges(df, ["x"], 400).groupBy("_b").count().collect()
+    assert len(keyed) > 256 and max(r["count"] for r in keyed) < 400
+    ps = R.prefix_sums(df, [], "x", ["_n"], rows_per_bucket=50)
+    assert ps.where("_n_before <> x OR _n_total <> 20000").count() == 0
+    many = spark.range(300_003).selectExpr("id % 100001 as g", "cast(id div 100001 as double) as x")
+    q = exact_quantiles(many, ["g"], "x", {"m": 0.5}, eager=True)
+    assert q.count() == 100_001 and q.where("m <> 1").count() == 0

@@ -1,4 +1,4 @@
-"""Readers and writers, the streaming aggregate, and the driver contract."""
+"""Readers and writers, and the driver contract."""
 
 import os
 import tempfile
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from attrition.operators.panel import account_means
 from attrition.sources import sinks, tables
-from attrition.streaming import read_panel_stream, running_account_means, start_account_means
 from tests.conftest import SF_SMALL
 
 
@@ -61,21 +60,6 @@ def test_predictions_weights_and_model_io(spark, scratch):
     assert [r["feature"] for r in sinks.read_weights(spark, os.path.join(scratch, "w")).collect()] == ["a", "b"]
 
 
-def test_streaming_means_equal_batch(spark, scratch):
-    src = os.path.join(scratch, "panel")
-    panel = spark.createDataFrame([(1, 6, 1.0), (1, 7, 3.0), (2, 6, 5.0)], "user_account_id long, month int, x double")
-    panel.where("month = 6").write.parquet(os.path.join(src, "m6"))
-    panel.where("month = 7").write.parquet(os.path.join(src, "m7"))
-    stream = spark.readStream.schema(panel.schema).option("recursiveFileLookup", True).parquet(src)
-    out = os.path.join(scratch, "means")
-    q = start_account_means(stream, ["x"], os.path.join(scratch, "ckpt"), out, available_now=True)
-    q.awaitTermination(120)
-    got = {r["user_account_id"]: r["x"] for r in spark.read.parquet(out).collect()}
-    want = {r["user_account_id"]: r["x"] for r in account_means(panel, features=["x"]).collect()}
-    assert got == want
-    assert running_account_means(read_panel_stream(spark, src, panel.schema), ["x"]).isStreaming
-
-
 def test_entry_and_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "churn" in df.columns
@@ -121,8 +105,11 @@ def test_bucketed_tables_join_without_exchange(spark):
 
 def test_query_view_runs_sql_and_drops_the_view(spark):
     df = spark.createDataFrame([(float(x),) for x in range(1, 101)], "x double")
-    out = tables.query_view(df, "tmp_attr", "SELECT percentile_approx(x, 0.5, 100000) AS p50, count(*) AS n FROM tmp_attr")
+    df.createOrReplaceTempView("tmp_attr")  # a caller's own view stays
+    before = len(spark.catalog.listTables())
+    out = tables.query_view(df, "SELECT percentile_approx(x, 0.5, 100000) AS p50, count(*) AS n FROM {view}")
     row = out.first()
     assert row["p50"] == 50.0 and row["n"] == 100
-    assert not spark.catalog.tableExists("tmp_attr")
+    assert len(spark.catalog.listTables()) == before and spark.table("tmp_attr").count() == 100
+    spark.catalog.dropTempView("tmp_attr")
     assert tables.peek(df, 3).count() == 3
