@@ -43,6 +43,15 @@ def box_stats(scored: DataFrame, drivers: list[str], prediction_col: str = PREDI
         F.count_if((v < lo) | (v > hi)).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
 
 
+def outliers(scored: DataFrame, drivers: list[str], key: str = KEY, prediction_col: str = PREDICTION_COL) -> DataFrame:
+    """(account, driver, value): the loyal accounts' values beyond 1.5 IQR of the hinges, the points of a box plot."""
+    loyal = gather_drivers(scored.where(F.col(prediction_col) == 0), [key], drivers)
+    j = loyal.join(F.broadcast(loyal_quartiles(scored, drivers, prediction_col)), "driver")  # a row per driver
+    reach = F.lit(1.5) * F.col("iqr")
+    return j.where((F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)).select(
+        key, "driver", "value")
+
+
 def scaled_box_stats(scored: DataFrame, drivers: list[str], prediction_col: str = PREDICTION_COL) -> DataFrame:
     """Box statistics of the loyal accounts' drivers after robust scaling by their own median and IQR.
 

@@ -353,6 +353,21 @@ def q_driver_box_stats(t: Inputs):
     return finish(DR.box_stats(t.stored("scored"), DRIVERS))
 
 
+def _outlier_sql() -> str:
+    loyal = (f"(select * from (select user_account_id, {', '.join(DRIVERS)} from scored where {PREDICTION_COL} = 0) "
+             f"unpivot (value for driver in ({', '.join(DRIVERS)})))")
+    return with_ctes(
+        f"select user_account_id, driver, {r4('value')} as value from (select l.*, "
+        "quantile_cont(value, 0.25) over (partition by driver) as q1, "
+        f"quantile_cont(value, 0.75) over (partition by driver) as q3 from {loyal} l) z "
+        "where value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)", "scored")
+
+
+@query("driver_outliers", "A23 (loyal values beyond the whiskers, as rows)", sql=_outlier_sql())
+def q_driver_outliers(t: Inputs):
+    return finish(DR.outliers(t.stored("scored"), DRIVERS))
+
+
 def _box_scaled_sql() -> str:
     loyal = (f"(select * from (select {', '.join(DRIVERS)} from scored where {PREDICTION_COL} = 0) "
              f"unpivot (value for driver in ({', '.join(DRIVERS)})))")

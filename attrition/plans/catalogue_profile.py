@@ -146,7 +146,8 @@ def q_top_values(t: Inputs):
     return out.select("tbl", "column", "value", "count", F.col("rank").cast("long").alias("rank"))
 
 
-_HIST_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_HIST_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+              "l_tax"]
 
 
 @query("histogram_adaptive", "A11 (mergeable streaming histogram, 25 bins)")

@@ -113,3 +113,18 @@ def test_query_view_runs_sql_and_drops_the_view(spark):
     assert len(spark.catalog.listTables()) == before and spark.table("tmp_attr").count() == 100
     spark.catalog.dropTempView("tmp_attr")
     assert tables.peek(df, 3).count() == 3
+
+
+def test_entry_without_the_corpus_subpackage(tmp_path):
+    """The entry point imports and lists its queries when the optional subpackage and pipeline are absent."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "attrition"), tmp_path / "attrition",
+                    ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q; e.oracle_sql()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
