@@ -89,6 +89,12 @@ def numeric_stats(df: DataFrame, cols: list[str], exact: bool = False, accuracy:
         pcts = exact_quantiles(present, ["column"], "value", PERCENTILES, method="discrete", eager=True,
                                with_distinct=True).withColumnRenamed("n_distinct", "distinct_values")
         stats = stats.join(pcts, "column", "left")
+        wide = [c for c in cols if isinstance(df.schema[c].dataType, (T.LongType, T.DecimalType))]
+        if wide:  # doubles would merge neighbours above 2^53
+            whole = _long(df, wide, "string").where(F.col("value").isNotNull()).distinct().groupBy("column").agg(
+                F.count(F.lit(1)).alias("_whole"))
+            stats = (stats.join(whole, "column", "left")
+                     .withColumn("distinct_values", F.coalesce("_whole", "distinct_values")).drop("_whole"))
     else:
         stats = stats.select("*", *[F.col("_pcts")[i].alias(n) for i, n in enumerate(PERCENTILES)])
     return stats.select(

@@ -72,6 +72,14 @@ def q_profile_numeric(t: Inputs):
     return finish(PR.profile(t.lineitem.select(*LINE_NUMERIC), exact=True))
 
 
+@query("profile_big_keys", "PR1 A7 (distinct 64-bit keys that doubles cannot tell apart)",
+       sql="select 'big_key' as \"column\", count(distinct 9007199254740992 + o_orderkey) as distinct_values "
+           "from orders")
+def q_profile_big_keys(t: Inputs):
+    keys = t.orders.select((F.lit(1 << 53) + F.col("o_orderkey")).alias("big_key"))
+    return PR.profile(keys, exact=True).select("column", "distinct_values")
+
+
 _CUST_CAT = {"c_name": "string", "c_mktsegment": "string"}
 _DOC_CAT = {"text": "string", "lang": "string", "source": "string"}
 
