@@ -20,7 +20,6 @@ to the smaller id; an empty table gives an empty result; other columns are not r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

@@ -12,10 +12,11 @@
    a sample with a probability close to their weighted Jaccard similarity.
 3. Documents that agree in all samples of a band share a bucket.  Those that
    hold too little in common with all other candidates together are out of reach
-   of the threshold and leave.  Within the buckets, pivots are compared with the members that are not known to be
-   connected with them, until each bucket's members are all connected or all
-   compared: no pair is given up, and a large group of near copies costs about
-   one comparison a member instead of all pairs.
+   of the threshold and leave.  Within the buckets, pivots are compared with
+   the members that are not known to be connected with them, until each
+   bucket's members are all connected or all compared.  No pair is given up
+   unless an exact bound rules the link out, and a large group of near copies
+   mostly costs one comparison a member.
 4. A compared pair is a link if its weighted Jaccard similarity, computed over
    all shingles, reaches the threshold.  Classes are the connected components.
 
