@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from attrition.operators.panel import account_means
 from attrition.sources import sinks, tables
 from tests.conftest import SF_SMALL
 
