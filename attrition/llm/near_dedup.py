@@ -3,13 +3,13 @@
 1. Document frequencies of word shingles are counted over all documents in a
    hashed feature table of fixed size (the usual hashing-TF-IDF layout), which
    is small enough to broadcast at any corpus size.
-2. Each distinct document gets ``bands * rows`` samples by improved consistent
-   weighted sampling: a sample is the shingle (and its quantised weight) that
-   minimises ``c / (y * exp(r))``, with r and c from Gamma(2, 1) and y the
-   weight rounded down on a random grid, all fixed by the shingle's hash.  The
-   shingles are dealt into one bin per sample, so each is drawn once; a bin
-   that stays empty takes a draw of its own over all shingles.  Two documents agree in
-   a sample with a probability close to their weighted Jaccard similarity.
+2. Each distinct document gets ``bands * rows`` samples by consistent weighted
+   sampling: a shingle that occurs n times is n occurrences of the weight of
+   its inverse document frequency, and a sample is the occurrence that comes
+   first when each waits an exponential time at the rate of its weight, fixed
+   by the hashes of the shingle, the occurrence's number and the sample.  All
+   samples are drawn over all occurrences, independently, so two documents
+   agree in a sample with a probability of their weighted Jaccard similarity.
 3. Documents that agree in all samples of a band share a bucket.  Those that
    hold too little in common with all other candidates together are out of reach
    of the threshold and leave.  Within the buckets, pivots are compared with
@@ -147,39 +147,34 @@ def _unit(x: np.ndarray, high: bool) -> np.ndarray:
     return (half.astype(np.float64) + 0.5) * 2.0 ** -32
 
 
-def draw(keys: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ln a, sample id) of improved consistent weighted sampling; the randomness is a function of ``keys``."""
-    x, y, z = mix(keys ^ _SEEDS[0]), mix(keys ^ _SEEDS[1]), mix(keys ^ _SEEDS[2])
-    r = -np.log(_unit(x, True) * _unit(x, False))
-    c = -np.log(_unit(y, True) * _unit(y, False))
-    beta = _unit(z, True)
-    t = np.floor(log_weight / r + beta)
-    return np.log(c) - r * (t - beta + 1.0), mix(keys + t.astype(np.int64).astype(_U) * _SEEDS[3])
-
-
 _SEEDS = seeded(21, 8) | _U(1)
+#: Draws of one document that are worked on together.
+_DRAWS = 1 << 15
 
 
-def signature(found: np.ndarray, weight: np.ndarray, samples: int) -> np.ndarray:
-    """The samples of one document."""
-    out = np.zeros(samples, _U)
+def signature(found: np.ndarray, weight: np.ndarray, samples: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """The samples of one document; ``counts`` (1 if not given) are the shingles' occurrences.
+
+    A shingle weighs the same for each occurrence in every document, so the
+    weighted Jaccard similarity is that of sets of occurrences, numbered per
+    shingle.  In each sample every occurrence waits an exponential time at the
+    rate of its weight, and the first one is the sample: two documents agree
+    with a probability of exactly their similarity, and samples are independent.
+    """
     if not len(found):
-        return out
-    log_weight = np.log(weight)
-    value, ident = draw(found, log_weight)
-    bin_of = ((mix(found ^ _SEEDS[4]) >> _U(32)) % _U(samples)).astype(np.int64)
-    least = np.full(samples, np.inf)
-    np.minimum.at(least, bin_of, value)
-    winner = value == least[bin_of]
-    out[bin_of[winner]] = ident[winner]
-    empty = np.flatnonzero(np.isinf(least))
-    step = max(1, (1 << 18) // len(found))
-    for k in range(0, len(empty), step):
-        some = empty[k:k + step]
-        keys = mix(found[None, :] ^ (some.astype(_U)[:, None] + _U(1)) * _SEEDS[5])
-        value, ident = draw(keys, log_weight[None, :])
-        out[some] = ident[np.arange(len(some)), value.argmin(axis=1)]
-    return out
+        return np.zeros(samples, _U)
+    counts = np.ones(len(found), np.int64) if counts is None else counts
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    keys = mix(np.repeat(found, counts) + number.astype(_U) * _SEEDS[0])
+    scale = np.repeat(counts / weight, counts)
+    seeds = seeded(23, -(-samples // 2))
+    out = np.empty((len(seeds), 2), _U)
+    step = max(1, _DRAWS // len(keys))
+    for k in range(0, len(seeds), step):
+        x = mix(keys[None, :] ^ seeds[k:k + step, None])
+        for half in (0, 1):  # a hash has two draws
+            out[k:k + step, half] = keys[(np.log(_unit(x, half == 0)) * scale).argmax(axis=1)]
+    return out.ravel()[:samples]
 
 
 def band_keys(samples: np.ndarray, p: Params) -> np.ndarray:
@@ -220,7 +215,8 @@ def _signatures(p: Params, idf):
                     keys.append(None)
                     continue
                 prints.append(fingerprint(found, counts))
-                keys.append(band_keys(signature(found, weights(found, counts, table), p.samples), p).view(np.int64))
+                samples = signature(found, weights(found, counts, table), p.samples, counts)
+                keys.append(band_keys(samples, p).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["id", "node", "keys"])

@@ -35,6 +35,34 @@ def test_samples_agree_as_often_as_the_weighted_jaccard():
         assert abs(same.mean() - true) < 0.09
 
 
+@pytest.mark.parametrize("repeated, times, own", [(50, 32, 200), (10, 200, 200), (10, 500, 400)])
+def test_long_documents_of_repeated_lines_share_a_band(repeated, times, own):
+    p, rng, hits = N.Params(), np.random.default_rng(3), 0
+    for _ in range(40):
+        found = rng.integers(1, 1 << 63, repeated + 2 * own).astype(np.uint64)
+        bands = []
+        for mine in (found[repeated:repeated + own], found[repeated + own:]):
+            bag = np.concatenate([found[:repeated], mine])
+            counts = np.concatenate([np.full(repeated, times), np.ones(own, int)])
+            order = np.argsort(bag)
+            bag, counts = bag[order], counts[order]
+            bands.append(N.band_keys(N.signature(bag, 10.0 * counts, p.samples, counts), p))
+        hits += bool((bands[0] == bands[1]).any())
+    assert hits == 40
+
+
+def test_repeated_lines_with_own_text_are_one_class(docs_of):
+    rows = [(100 * g + k, " ".join([f"line{g}x{j}" for j in range(11)] * 150 + [f"own{g}x{k}x{j}" for j in range(120)]))
+            for g in range(8) for k in range(2)]
+    p = N.Params(buckets=1 << 16)
+    docs = docs_of(rows)
+    idf = N.idf_table(docs.select("text"), p)
+    found = N.classes(docs, params=p).collect()
+    expected = brute_classes(rows, p, idf)
+    assert all(size >= 2 for _, _, size in expected)
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in found) == expected
+
+
 def brute_classes(rows, p, idf):
     """Smallest id of the connected component under all links, by comparing all pairs of texts."""
     bags = [(i, *b) for (i, t), b in zip(rows, N._bags(pa.array([t for _, t in rows], pa.string()), p))]
