@@ -7,8 +7,12 @@ and the excess goes to the others by weight.
 Blocks.  The documents of a source are put in a random order fixed by their
 hashes and cut into blocks of about ``block_words`` words.  A source's quota is
 an exact number of blocks: all blocks as often as the target holds whole
-passes, and the first blocks of one more pass, up to the last document that fits; one
-more document, whose size comes nearest, fills the gap that is left.
+passes, and the first blocks of one more pass, up to the first document that does not
+fit.  Documents that do not fit are left out, and later ones fill the gap until none
+that is left fits; a last one may go over the target if that comes nearer.  Where more
+than the smallest document is still missing, a large document that did not fit behind
+the others is taken before them.  These documents form blocks of their own behind
+those of the last pass.
 
 Tree.  The quotas are split recursively among the output shards: the left half
 of a node's shards gets a multivariate-hypergeometric draw from the node's
@@ -153,38 +157,129 @@ def permuted_blocks(rows: DataFrame, table: pd.DataFrame, p: Params) -> tuple[Da
     return stage(out, "blocks"), block
 
 
-#: A document is in a source's last pass if it fits before the target, or is the one that fills the gap best.
-IN_LAST_PASS = "rest > 0 AND (before + size <= rest OR (before = gap_before AND mark = gap_mark AND id <=> gap_id))"
+#: A document is in the first blocks of a source's last pass if it fits before the target.
+IN_LAST_PASS = "(rest > 0 AND before + size <= rest)"
 
 
-def quotas(blocks: DataFrame, table: pd.DataFrame, block: int) -> pd.DataFrame:
-    """``table`` with passes, rest (words of the last pass), blocks of a pass, part (blocks that fit into the
-    rest), the document that fills the gap behind them (``gap_*``; None if none comes nearer), and quota.
-
-    Both aggregates return one row per source.
+def _leading(free: DataFrame) -> DataFrame:
+    """The documents that come first in their source's order and fit together into its ``gap``; ``words`` before each."""
+    placed = free.withColumn("range", F.expr("block DIV 64"))
+    earlier = Window.partitionBy("number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (placed.groupBy("number", "range").agg(F.sum("size").alias("n"))
+             .select("number", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("words0")))
+    inside = Window.partitionBy("number", "range").orderBy("before").rowsBetween(Window.unboundedPreceding, -1)
+    words = F.col("words0") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    return placed.join(parts, ["number", "range"]).withColumn("words", words).where("words + size <= gap")
+
+
+def fill_gaps(blocks: DataFrame, rest: dict[int, float], gap: dict[int, float], first: list[tuple],
+              block: int) -> tuple[DataFrame, dict[int, int], dict[int, float], list]:
+    """(documents that fill the gaps, with blocks -1, -2, ...; their words, what is missed then and, one row for
+    each source that has it, the largest unused document within the rest), all by source.
+
+    ``first`` holds documents (number, id, mark, size, before) that are taken in any case, behind ``rest``.
+
+    In a round each source takes the largest unused document that fits, then
+    the next ones of its order that fit together; so a document that does not
+    fit is passed over, and the gap at least falls below the size of one that
+    fitted before.  When nothing fits, the document that goes over the target
+    least is taken if that comes nearer than the gap.  The driver sees one row
+    per source and round.
+    """
+    spark = blocks.sparkSession
+    columns = ["number", "id", "mark", "size", "before"]
+    kind = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in columns) + ", block bigint"
+    gap, words = dict(gap), dict.fromkeys(gap, 0)
+    chosen = spark.createDataFrame([], kind)
+
+    def free(sources: list[int], fits: str) -> DataFrame:
+        gaps = spark.createDataFrame([(int(n), float(rest[n]), float(gap[n])) for n in sources],
+                                     "number int, rest double, gap double")
+        unused = blocks.join(F.broadcast(gaps), "number").where(f"size > 0 AND before + size > rest AND {fits}")
+        return unused.join(chosen.select("number", "before"), ["number", "before"], "left_anti")
+
+    def take(rows: list[tuple]) -> None:
+        nonlocal chosen
+        placed = []
+        for n, ident, mark, size, before in rows:
+            placed.append((n, ident, mark, size, before, -1 - words[n] // block))
+            words[n] += size
+        chosen = chosen.unionByName(spark.createDataFrame(placed, kind))
+
+    def nearest(sources: list[int], fits: str) -> list:
+        miss = F.abs(F.col("gap") - F.col("size")).alias("miss")
+        best = F.min(F.struct(miss, "before", "mark", "id", "size")).alias("best")
+        found = free(sources, fits).groupBy("number").agg(best, F.min("size").alias("least")).collect()
+        take([(r["number"], r["best"]["id"], r["best"]["mark"], r["best"]["size"], r["best"]["before"]) for r in found])
+        for r in found:
+            gap[r["number"]] -= r["best"]["size"]
+        return found
+
+    take(first)
+    left = [n for n in gap if gap[n] > 0]
+    while left:
+        left = [r["number"] for r in nearest(left, "size <= gap") if gap[r["number"]] >= r["least"]]
+        if left:
+            starts = spark.createDataFrame([(int(n), words[n]) for n in left], "number int, start bigint")
+            more = _leading(free(left, "size <= gap")).join(F.broadcast(starts), "number")
+            more = stage(more.select(*columns, F.expr(f"-1 - (start + words) DIV {block}").alias("block")), "fill")
+            chosen = chosen.unionByName(more)
+            for r in more.groupBy("number").agg(F.sum("size").alias("words")).collect():
+                words[r["number"]] += r["words"]
+                gap[r["number"]] -= r["words"]
+    left, large = [n for n in gap if gap[n] > 0], []
+    if left:
+        entry = F.max(F.struct("size", "before", "mark", "id")).alias("best")
+        large = free(left, "size <= rest").groupBy("number").agg(entry).collect()
+        nearest(left, "size < 2 * gap")
+    return stage(chosen, "fills"), words, {n: abs(g) for n, g in gap.items()}, large
+
+
+def quotas(blocks: DataFrame, table: pd.DataFrame, block: int) -> tuple[pd.DataFrame, DataFrame]:
+    """``table`` with passes, rest (words of the last pass without the documents that fill gaps), blocks of a pass,
+    part (blocks up to the first document that does not fit into the rest) and quota; and the documents that fill gaps.
+
+    The aggregates return one row per source.
     """
     spark = blocks.sparkSession
     size = table["source_size"].to_numpy(np.float64)
     passes = np.floor(np.divide(table["target"].to_numpy(), size, out=np.zeros(len(size)), where=size > 0))
     out = table.assign(passes=passes.astype(np.int64), rest=table["target"] - passes * size,
                        blocks=-(-table["steps"] // block))
-    rest = spark.createDataFrame([(int(n), float(r)) for n, r in zip(out["number"], out["rest"])],
-                                 "number int, rest double")
-    fits = (blocks.join(F.broadcast(rest), "number").where("rest > 0 AND before + size <= rest").groupBy("number")
-            .agg(F.max(F.col("before") + F.col("size")).alias("filled"), (F.max("block") + 1).alias("part")).collect())
-    filled, part = {r["number"]: r["filled"] for r in fits}, {r["number"]: r["part"] for r in fits}
-    out = out.assign(gap=[r - filled.get(n, 0) for n, r in zip(out["number"], out["rest"])],
-                     part=[part.get(n, 0) for n in out["number"]])
-    gaps = spark.createDataFrame([(int(r.number), float(r.rest), float(r.gap)) for r in out.itertuples()],
-                                 "number int, rest double, gap double")
-    best = (blocks.join(F.broadcast(gaps), "number").where("before + size > rest AND size > 0 AND size < 2 * gap")
-            .groupBy("number").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "before", "mark",
-                                                  "id", "block")).alias("gap")).collect())
-    fill = {r["number"]: r["gap"] for r in best}
-    for name in ("before", "mark", "id", "block"):
-        out[f"gap_{name}"] = pd.Series([fill[n][name] if n in fill else None for n in out["number"]], dtype=object)
-    more = [int(n in fill and fill[n]["block"] >= k) for n, k in zip(out["number"], out["part"])]
-    return out.assign(quota=out["passes"] * out["blocks"] + out["part"] + more)
+    rest = {int(n): float(r) for n, r in zip(out["number"], out["rest"])}
+    first: dict[int, list[tuple]] = {n: [] for n in rest}
+    best: dict[int, dict] = {}
+    tried: list[DataFrame] = []
+    while rest:
+        known = spark.createDataFrame(list(rest.items()), "number int, rest double")
+        fits = F.expr("rest > 0 AND before + size <= rest")
+        found = (blocks.join(F.broadcast(known), "number").groupBy("number")
+                 .agg(F.max(F.when(fits, F.col("before") + F.col("size"))).alias("filled"),
+                      (F.max(F.when(fits, F.col("block"))) + 1).alias("part"),
+                      F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).collect())
+        gap = {r["number"]: rest[r["number"]] - (r["filled"] or 0) for r in found}
+        fills, words, miss, large = fill_gaps(blocks, rest, gap, [x for n in gap for x in first[n]], block)
+        better = [r for r in found if r["number"] not in best or miss[r["number"]] < best[r["number"]]["miss"]]
+        for r in better:
+            n = r["number"]
+            best[n] = {"miss": miss[n], "rest": rest[n], "part": r["part"] or 0, "more": -(-words[n] // block),
+                       "tried": len(tried)}
+        tried.append(fills)
+        # where more than a document is missing, a large one goes before the others
+        again = {r["number"] for r in better if r["least"] and miss[r["number"]] > r["least"]}
+        rest = {n: r for n, r in rest.items() if n in again}
+        pinned = {r["number"]: r["best"] for r in large if r["number"] in again}
+        for n, x in pinned.items():
+            first[n].append((n, x["id"], x["mark"], x["size"], x["before"]))
+            rest[n] -= x["size"]
+        rest = {n: rest[n] for n in pinned}
+    for name in ("rest", "part", "more"):
+        out[name] = [best[n][name] for n in out["number"]]
+    fills = blocks.select("number", "id", "mark", "size", "before", "block").limit(0)
+    for k, frame in enumerate(tried):
+        chosen = spark.createDataFrame([(int(n),) for n, x in best.items() if x["tried"] == k], "number int")
+        fills = fills.unionByName(frame.join(F.broadcast(chosen), "number", "left_semi"))
+    return out.assign(quota=out["passes"] * out["blocks"] + out["part"] + out["more"]), fills
 
 
 def draws(blocks: DataFrame, table: pd.DataFrame, p: Params) -> DataFrame:
@@ -202,43 +297,46 @@ def draws(blocks: DataFrame, table: pd.DataFrame, p: Params) -> DataFrame:
 
     slices = spark.range(p.shards).mapInPandas(walk, "shard int, number int, start bigint, count bigint")
     steps = spark.createDataFrame(
-        [(int(r.number), int(r.quota), stride(int(r.quota), p.seed), int(r.blocks), int(r.passes), int(r.part),
-          r.gap_block) for r in table.itertuples()],
-        "number int, quota bigint, stride bigint, blocks bigint, passes int, part bigint, gap_block bigint")
+        [(int(r.number), int(r.quota), stride(int(r.quota), p.seed), int(r.blocks), int(r.passes), int(r.part))
+         for r in table.itertuples()],
+        "number int, quota bigint, stride bigint, blocks bigint, passes int, part bigint")
     place = F.explode(F.expr("sequence(start, start + count - 1)")).alias("place")
     return (slices.join(F.broadcast(steps), "number").select("*", place)
             .withColumn("unit", F.expr("(place * stride) % quota"))
             .withColumn("pass", F.expr("CAST(least(unit DIV blocks, passes) AS INT)"))
             .withColumn("block", F.expr("unit - pass * blocks"))
-            .select("number", F.expr("IF(pass = passes AND block = part, gap_block, block)").alias("block"), "shard",
+            .select("number", F.expr("IF(pass = passes AND block >= part, part - 1 - block, block)").alias("block"), "shard",
                     "pass"))
 
 
-def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows in blocks, drawn blocks, source totals)."""
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str,
+          p: Params) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows in blocks, those that fill gaps, drawn blocks, source totals)."""
     spark = docs.sparkSession
     rows = sizes(docs, id_col, text_col, source_col)
     table = source_table(rows, p)
     blocks, words = permuted_blocks(rows, table, p)
-    table = quotas(blocks, table, words)
-    kind = blocks.schema["id"].dataType.simpleString()
+    table, fills = quotas(blocks, table, words)
     totals = spark.createDataFrame(
-        [(int(r.number), int(r.source_size), float(r.target), int(r.passes), float(r.rest), r.gap_before, r.gap_mark,
-          r.gap_id) for r in table.itertuples()],
-        "number int, source_size bigint, target double, passes int, rest double, gap_before bigint, gap_mark bigint, "
-        f"gap_id {kind}")
-    return blocks, draws(blocks, table, p), totals
+        [(int(r.number), int(r.source_size), float(r.target), int(r.passes), float(r.rest)) for r in table.itertuples()],
+        "number int, source_size bigint, target double, passes int, rest double")
+    return blocks, fills, draws(blocks, table, p), totals
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           params: Params = Params()) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken (words in the mix, repeats counted)."""
-    blocks, drawn, totals = _plan(docs, id_col, text_col, source_col, params)
+    blocks, fills, drawn, totals = _plan(docs, id_col, text_col, source_col, params)
     drawn = (drawn.join(F.broadcast(totals.select("number", "passes")), "number")
              .groupBy("number", "block").agg(F.count_if(F.expr("pass < passes")).alias("whole"),
                                              F.count_if(F.expr("pass = passes")).alias("part")))
-    rows = blocks.join(drawn, ["number", "block"], "left").join(F.broadcast(totals), "number")
-    times = F.coalesce("whole", F.lit(0)) + F.when(F.expr(IN_LAST_PASS), F.coalesce("part", F.lit(0))).otherwise(0)
+    # places in the order are unique for documents of some words, and only those fill gaps
+    fills = (fills.join(drawn, ["number", "block"])
+             .select("number", "before", F.lit(True).alias("some"), F.col("part").alias("fill")))
+    rows = (blocks.join(drawn, ["number", "block"], "left").join(F.broadcast(totals), "number")
+            .withColumn("some", F.col("size") > 0).join(fills, ["number", "before", "some"], "left"))
+    times = (F.coalesce("whole", F.lit(0)) + F.when(F.expr(IN_LAST_PASS), F.coalesce("part", F.lit(0))).otherwise(0)
+             + F.coalesce("fill", F.lit(0)))
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target",
                        (F.col("size") * times).alias("taken"))
 
@@ -247,10 +345,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         params: Params = Params()) -> DataFrame:
     """The mix itself: rows of ``docs``, one per draw, shard by shard, each shard in a random order."""
     p = params
-    blocks, drawn, totals = _plan(docs, id_col, text_col, source_col, p)
-    copies = Window.partitionBy("id", "mark").orderBy("before")
-    plan = (blocks.withColumn("copy", F.row_number().over(copies)).join(drawn, ["number", "block"])
-            .join(F.broadcast(totals), "number").where(f"pass < passes OR {IN_LAST_PASS}")
+    blocks, fills, drawn, totals = _plan(docs, id_col, text_col, source_col, p)
+    blocks = blocks.unionByName(fills)
+    # a document that fills a gap comes right behind its other row and is the same copy
+    copies = (Window.partitionBy("id", "mark").orderBy("before", F.desc("block"))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    plan = (blocks.withColumn("copy", F.count_if(F.col("block") >= 0).over(copies)).join(drawn, ["number", "block"])
+            .join(F.broadcast(totals), "number").where(f"block < 0 OR pass < passes OR {IN_LAST_PASS}")
             .select(F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("none"), "mark",
                     F.struct("copy", "shard", F.xxhash64(F.lit(p.seed), "shard", "pass", "id", "mark", "copy")
                              .alias("order")).alias("draw"))

@@ -84,6 +84,33 @@ def test_mix_holds_what_was_taken(docs_of, rows):
         assert got[i, t] * n == taken[i, n]
 
 
+def test_documents_that_do_not_fit_are_passed_over(docs_of):
+    made = [(k, "w " * 50, "en", "a") for k in range(200)]  # weight 1, target 6,667 of 40,000 words
+    made += [(900 + k, "w " * 6000, "en", "a") for k in range(5)]
+    made += [(2000 + k, "w " * (20 + k % 7), "en", "b") for k in range(100)]
+    p = M.Params(block_words=256, shards=3, weights=(1.0, 1e-9))
+    docs = docs_of(made)
+    out = M.taken(docs, params=p).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in made)
+    miss = {}
+    for s in "ab":
+        of = [r for r in out if (r.doc_id >= 2000) == (s == "b")]
+        miss[s] = abs(sum(r.taken for r in of) - of[0].target)
+        assert all(r.taken <= 3 * r.size for r in of)
+    assert max(miss.values()) <= 25  # half of the smallest document
+    got = Counter(r.doc_id for r in M.mix(docs, params=p).collect())
+    assert all(got[r.doc_id] * r.size == r.taken for r in out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_dominating_document(docs_of, seed):
+    made = [(k, "w " * 50, "en", "a") for k in range(100)] + [(900, "w " * 9000, "en", "a")]
+    made += [(2000 + k, "w " * 70, "en", "b") for k in range(100)]  # target of a: 10,500 of 21,000 words, less than a holds
+    out = M.taken(docs_of(made), params=M.Params(block_words=256, shards=3, weights=(1.0, 1.0), seed=seed)).collect()
+    of = [r for r in out if r.doc_id < 2000]
+    assert abs(sum(r.taken for r in of) - of[0].target) <= 25
+
+
 def test_empty_table(docs_of):
     assert M.taken(docs_of([])).count() == 0
     assert M.mix(docs_of([])).count() == 0
