@@ -197,11 +197,14 @@ def _search(found: pd.Series, ids: np.ndarray, queries: np.ndarray, k: int, p: P
     graph = np.frombuffer(found["graph"], np.int32).reshape(len(vectors), -1)
     members, out = found["members"], []
     unit = _unit(vectors)
+    least = np.array([m[0] for m in members], np.int64)
     for at in range(0, len(ids), p.batch):
         part = queries[at:at + p.batch]
         near, _ = beam_search(unit, graph, found["start"], _unit(part), p.search_beam)
-        near = near[:, :2 * k + 2]
-        score = cosines(vectors[np.maximum(near, 0)], part[:, None, :])
+        score = np.where(near < 0, -np.inf, cosines(vectors[np.maximum(near, 0)], part[:, None, :]))
+        # single precision does not tell near points apart, so all of the beam is compared; one may be the query
+        best = np.lexsort((least[near], -score), axis=1)[:, :k + 1]
+        near, score = np.take_along_axis(near, best, axis=1), np.take_along_axis(score, best, axis=1)
         for q, places, scores in zip(ids[at:at + p.batch], near, score):
             each = [(-s, int(m), int(q)) for s, c in zip(scores, places) if c >= 0 for m in members[c] if m != q]
             out += sorted(each)[:k]

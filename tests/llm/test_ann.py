@@ -61,6 +61,24 @@ def test_fewer_candidates_than_asked_and_empty_table(spark):
     assert A.search(frame(spark, []), F.col("id") % 50 == 0).count() == 0
 
 
+def test_all_of_the_beam_is_compared_in_double_precision():
+    rng, noise = np.random.default_rng(7), 1e-3
+    centre = rng.normal(size=64)
+    x = centre + noise * np.abs(centre).mean() * rng.normal(size=(300, 64))
+    p = A.Params()
+    graph, start = A.build_graph(A._unit(x), p)
+    index = {"vectors": x.tobytes(), "dims": 64, "graph": graph.astype(np.int32).tobytes(), "start": start,
+             "members": [[k] for k in range(300)]}
+    asked = np.arange(0, 300, 10)
+    got = A._search(index, asked, x[asked], 5, p)
+    hits = 0
+    for q in asked:
+        cos = A.cosines(x, x[q])
+        cos[q] = -1
+        hits += len(set(got["vec_id"][got["query_id"] == q]) & set(np.argsort(-cos)[:5].tolist()))
+    assert hits / (5 * len(asked)) >= 0.95
+
+
 def test_pruning_keeps_diverse_edges():
     angle = np.array([0.0, 0.1, 0.11, -0.12, 1.0])
     points = np.column_stack([np.cos(angle), np.sin(angle)])
