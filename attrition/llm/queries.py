@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, chat, exact_dedup, langid, mixing, near_dedup, sharding, token_files, toxicity
+from . import ann, bpe, chat, exact_dedup, langid, mixing, near_dedup, repeats, sharding, token_files, toxicity
 from .storage import scratch_path, ship_package
 
 #: Vocabulary files are parameters; the package of public tokenizers says where they are.
@@ -124,3 +124,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+@register(sql=r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    w AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+    p AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i:i + 19], ' ') END AS win FROM w),
+    e AS (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM p),
+    c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM e)
+    SELECT d.doc_id, count(i) AS n_words, count(i) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""")
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.strip_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
