@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, chat, exact_dedup, langid, mixing, near_dedup, repeats, sharding, token_files, toxicity
+from . import align, ann, bpe, chat, exact_dedup, langid, mixing, near_dedup, repeats, sharding, token_files, toxicity, variants
 from .storage import scratch_path, ship_package
 
 #: Vocabulary files are parameters; the package of public tokenizers says where they are.
 RANK_FILE = "byte_bpe_50k.tiktoken"
 TOKENIZER_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -138,3 +139,16 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.strip_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.forms(variants.vocabulary(table(spark, sf_dir, "documents"), noise_every=97))
+
+
+@register()
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    where = vocabularies.path(TOKENIZER_FILE), vocabularies.PATTERN, vocabularies.path(PIECE_FILE)
+    return align.link_statistics(table(spark, sf_dir, "documents"), *where)
