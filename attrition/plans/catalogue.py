@@ -7,6 +7,7 @@ full; floating outputs are rounded with the tie-safe rule in both engines.
 from __future__ import annotations
 
 from ..operators import panel as P
+from ..schema import DRIVER_NAMES
 from .inputs import Inputs, finish
 from .oracle_sql import PANEL_FEATURES, r4, rounded, with_ctes
 from .registry import query
@@ -49,7 +50,7 @@ def q_account_months_means(t: Inputs):
     return finish(t.explore)
 
 
-_SPOT = ["user_lifetime", "reloads_inactive_days", "calls_outgoing_count"]
+_SPOT = FEATS
 
 
 @query("account_spot_check", "A5 P4 (every account: panel re-averaged beside the stored table)",
@@ -57,7 +58,7 @@ _SPOT = ["user_lifetime", "reloads_inactive_days", "calls_outgoing_count"]
            "select a.user_account_id, "
            + ", ".join(f"{r4('a.avg_' + c)} as avg_{c}" for c in _SPOT)
            + ", " + rounded(_SPOT, prefix="t.") + ", ("
-           + " and ".join(f"abs(coalesce(a.avg_{c} - t.{c}, 0.0)) <= 1e-9" for c in _SPOT)
+           + " and ".join(f"abs(coalesce(a.avg_{c} - t.{c}, 0.0)) <= 1e-9 * greatest(abs(coalesce(t.{c}, 0.0)), 1.0)" for c in _SPOT)
            + ") as matches from (select user_account_id, "
            + ", ".join(f"avg({c}) as avg_{c}" for c in _SPOT)
            + " from usage_panel group by user_account_id) a join account_table t using (user_account_id)",
@@ -68,8 +69,7 @@ def q_account_spot_check(t: Inputs):
 
 @query("scored_accounts", "E10 stand-in: deterministic linear score",
        sql=with_ctes("select user_account_id, logistic_regression_probability, prediction_logistic_regression, "
-                     + rounded(["calls_outgoing_duration_max", "user_account_balance_last", "user_has_outgoing_sms",
-                                "sms_outgoing_to_abroad_count", "user_lifetime", "reloads_inactive_days"])
+                     + rounded(DRIVER_NAMES)
                      + " from scored", "scored"))
 def q_scored_accounts(t: Inputs):
     return finish(t.scored)

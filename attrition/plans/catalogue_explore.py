@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as C
 from ..operators import describe as D
 from ..operators.ratios import RATIO_NAMES, RATIO_RULES, ratio_features
-from ..schema import EXPLORATORY_LABEL, KEY, MONTHS_PRESENT
+from ..schema import EXPLORATORY_LABEL, INDICATORS, KEY, MONTHS_PRESENT
 from .inputs import Inputs, finish
 from .oracle_sql import PANEL_FEATURES, r4, with_ctes
 from .registry import query
@@ -16,7 +16,7 @@ FEATS = list(PANEL_FEATURES)
 EXPLORE_COLS = [MONTHS_PRESENT, *FEATS, EXPLORATORY_LABEL]
 LINE_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                 "l_extendedprice", "l_discount", "l_tax"]
-INDICATOR_COLS = ["user_has_outgoing_calls", "user_has_outgoing_sms", "user_use_gprs", "user_does_reload"]
+INDICATOR_COLS = list(INDICATORS)
 
 
 def _q(name: str) -> str:
@@ -140,10 +140,11 @@ def q_corr_by_class_raw(t: Inputs):
 
 @query("rate_by_indicator", "R1 A19",
        sql=with_ctes(f"select variable, {r4('value')} as value, {r4('avg(Churn)')} as rate, count(*) as n from "
-                     f"(unpivot (select Churn, {', '.join(INDICATOR_COLS)} from explore) on {', '.join(INDICATOR_COLS)} "
+                     f"(unpivot (select Churn, {', '.join(INDICATOR_COLS)} from (select *, user_intake as user_intake_sum from explore)) on {', '.join(INDICATOR_COLS)} "
                      "into name variable value value) u group by variable, value", "explore"))
 def q_rate_by_indicator(t: Inputs):
-    return finish(D.rate_by_level(t.explore, EXPLORATORY_LABEL, INDICATOR_COLS))
+    frame = t.explore.withColumnRenamed("user_intake", "user_intake_sum")
+    return finish(D.rate_by_level(frame, EXPLORATORY_LABEL, INDICATOR_COLS))
 
 
 _CLASS_COLS = [MONTHS_PRESENT, *FEATS]

@@ -3,7 +3,9 @@
 Mapping: account = customer; call = line item; on-net / off-net / abroad =
 return flag N / A / R; spend = extended price; duration = quantity; month =
 order month; label = 1 when a customer who ordered before the cut-off has no
-order on or after it.
+order on or after it. Inactive days = longest run of days of the month without
+such a call; ``last_100_*`` of calls, texts and data = over the account's last
+100 line items up to the end of the month.
 
 Plan shape (chosen for very large inputs):
 
@@ -13,15 +15,19 @@ Plan shape (chosen for very large inputs):
   hash-partitioned on it, no skew: order keys are unique);
 * one aggregation per (account, year, month) builds every monthly measure; a
   hot account is spread over its months and combined map-side;
+* the longest inactive runs come from one mergeable 31-bit mask per measure;
+* the last 100 line items are limited per order, then per (account, month), in
+  every task before a shuffle; only lists of at most 100 meet along an account's months;
 * the label is one aggregation over orders instead of two distincts and a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DASHBOARD_DRIVERS, KEY, PREDICTION_COL, SCORE_COL
+from ..operators.activity import day_mask_sql, latest_per_group, longest_gap_sql, running_latest, sum_where
+from ..schema import DRIVER_NAMES, FULL_FEATURES, KEY, PREDICTION_COL, SCORE_COL
 
 CUTOFF = "2000-08-01 00:00:00"
 
@@ -55,7 +61,8 @@ def order_line_summary(lineitem: DataFrame) -> DataFrame:
     for tag, cond in (("on", _ON), ("off", _OFF), ("ab", _AB)):
         pairs += [(f"n_{tag}", cnt(cond)), (f"spend_{tag}", ssum("l_extendedprice", cond)),
                   (f"dur_{tag}", ssum("l_quantity", cond))]
-    pairs += [("n_sms", cnt(_SMS)), ("sms_spend", ssum(_SMS_AMOUNT, _SMS))]
+    pairs += [("n_sms", cnt(_SMS)), ("sms_spend", ssum(_SMS_AMOUNT, _SMS)),
+              ("sms_spend_max", f"max(CASE WHEN {_SMS} THEN {_SMS_AMOUNT} END)")]
     for tag, cond in (("on", _ON), ("off", _OFF), ("ab", _AB)):
         both = f"{_SMS} AND {cond}"
         pairs += [(f"n_sms_{tag}", cnt(both)), (f"sms_spend_{tag}", ssum(_SMS_AMOUNT, both))]
@@ -86,6 +93,7 @@ _MONTHLY = [
 ] + [
     ("sms_outgoing_count", "CAST(sum(n_sms) AS DOUBLE)"),
     ("sms_outgoing_spendings", "sum(sms_spend)"),
+    ("sms_outgoing_spendings_max", "max(sms_spend_max)"),
 ] + [
     row for tag, name in (("on", "onnet"), ("off", "offnet"), ("ab", "abroad")) for row in (
         (f"sms_outgoing_to_{name}_count", f"CAST(sum(n_sms_{tag}) AS DOUBLE)"),
@@ -101,36 +109,88 @@ _MONTHLY = [
 ]
 
 
+# measure with inactive days -> the per-order count that says whether it occurred
+_ACTIVE = {
+    "calls_outgoing": "n_calls", "calls_outgoing_to_onnet": "n_on", "calls_outgoing_to_offnet": "n_off",
+    "calls_outgoing_to_abroad": "n_ab", "sms_outgoing": "n_sms", "sms_outgoing_to_onnet": "n_sms_on",
+    "sms_outgoing_to_offnet": "n_sms_off", "sms_outgoing_to_abroad": "n_sms_ab", "gprs": "n_data",
+}
+
+# measure over the last line items -> (value, condition) on an entry x
+_LATEST = {
+    "calls_outgoing_duration": ("x.l_quantity", "true"),
+    "calls_outgoing_to_onnet_duration": ("x.l_quantity", "x.l_returnflag = 'N'"),
+    "calls_outgoing_to_offnet_duration": ("x.l_quantity", "x.l_returnflag = 'A'"),
+    "calls_outgoing_to_abroad_duration": ("x.l_quantity", "x.l_returnflag = 'R'"),
+    "sms_outgoing_count": ("1D", "x.l_linestatus = 'F'"),
+    "sms_outgoing_to_onnet_count": ("1D", "x.l_linestatus = 'F' AND x.l_returnflag = 'N'"),
+    "sms_outgoing_to_offnet_count": ("1D", "x.l_linestatus = 'F' AND x.l_returnflag = 'A'"),
+    "sms_outgoing_to_abroad_count": ("1D", "x.l_linestatus = 'F' AND x.l_returnflag = 'R'"),
+    "gprs_usage": ("x.l_quantity", "x.l_quantity >= 45"),
+}
+
+_LINE = ["l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"]
+
+
+def latest_lines(orders: DataFrame, lineitem: DataFrame, last: int) -> DataFrame:
+    """(account, year, month, lines): the month's last ``last`` line items by order time, order and line number."""
+    per_order = latest_per_group(lineitem, ["l_orderkey"], _LINE, last, _LINE, "lines")
+    timed = orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
+    month = latest_per_group(timed, [KEY, "year", "month"], ["at", "o_orderkey"], last, ["at", "o_orderkey", "lines"], "orders")
+    stamped = F.flatten(F.transform("orders", lambda o: F.transform(o["lines"], lambda x: F.struct(
+        o["at"].alias("at"), o["o_orderkey"].alias("o_orderkey"), *[x[c].alias(c) for c in _LINE]))))
+    return month.select(KEY, "year", "month", F.slice(F.sort_array(stamped, asc=False), 1, last).alias("lines"))
+
+
 def usage_panel(orders: DataFrame, lineitem: DataFrame, customer: DataFrame,
-                cutoff: str = CUTOFF) -> DataFrame:
-    """Monthly usage panel: one row per (account, year, month) with 40 usage features.
+                cutoff: str = CUTOFF, last: int = 100) -> DataFrame:
+    """Monthly usage panel: one row per (account, year, month) with the 62 features of ``FULL_FEATURES``.
 
     Months without line items keep null call/SMS/data measures (a left join),
-    exactly like a month with reloads but no usage.
+    exactly like a month with reloads but no usage; such a month is
+    inactive on all its days.
     """
     o = orders.where(F.col("o_orderdate") < _cutoff(cutoff)).selectExpr(
         "o_orderkey", f"o_custkey AS {KEY}",
         "CAST(year(o_orderdate) AS BIGINT) AS year", "CAST(month(o_orderdate) AS BIGINT) AS month",
-        "CAST(o_orderdate AS DATE) AS d", "o_totalprice", "o_orderstatus")
+        "CAST(o_orderdate AS DATE) AS d", "o_orderdate AS at", "o_totalprice", "o_orderstatus")
     lines = order_line_summary(lineitem)
     joined = o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left")
-    monthly = joined.groupBy(KEY, "year", "month").agg(*_aggs(_MONTHLY))
+    masks = [(f"_mask_{name}", day_mask_sql("d", f"{n} > 0")) for name, n in _ACTIVE.items()]
+    monthly = joined.groupBy(KEY, "year", "month").agg(*_aggs(
+        [*_MONTHLY, *masks, ("_days", "day(last_day(max(d)))"), ("_end", "last_day(max(d))"),
+         ("_active", "max(CASE WHEN n_calls > 0 THEN d END)")]))
+    monthly = monthly.join(latest_lines(o, lineitem, last), [KEY, "year", "month"], "left")
+    # windows over the months of an account: as many rows as the calendar has months
+    months = Window.partitionBy(KEY).orderBy("year", "month")
+    monthly = running_latest(monthly, [KEY], ["year", "month"], "lines", last, "_latest")
+    monthly = monthly.withColumn("_last_active", F.max("_active").over(
+        months.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
+        "_first", F.row_number().over(months) == 1)
     cu = customer.selectExpr(f"c_custkey AS {KEY}", "c_acctbal AS user_account_balance_last")
     panel = monthly.join(cu, KEY, "inner")
 
     def flag(c: str, name: str) -> str:
         return f"CASE WHEN {c} > 0 THEN 1D ELSE 0D END AS {name}"
 
-    first = ["reloads_inactive_days", "reloads_count", "reloads_sum", "last_100_reloads_count",
-             "last_100_reloads_sum", "user_account_balance_last"]
-    return panel.selectExpr(
-        KEY, "year", "month", *first,
-        *[name for name, _ in _MONTHLY if name not in first],
-        flag("calls_outgoing_count", "user_has_outgoing_calls"),
-        flag("sms_outgoing_count", "user_has_outgoing_sms"),
-        flag("gprs_session_count", "user_use_gprs"),
-        flag("last_100_reloads_count", "user_does_reload"),
-        "CAST((year - 1995) * 12 + month AS DOUBLE) AS user_lifetime")
+    spent = " + ".join(f"coalesce({c}, 0D)" for c in
+                       ("calls_outgoing_spendings", "sms_outgoing_spendings", "gprs_spendings"))
+    made = {
+        "user_has_outgoing_calls": flag("calls_outgoing_count", "user_has_outgoing_calls"),
+        "user_has_outgoing_sms": flag("sms_outgoing_count", "user_has_outgoing_sms"),
+        "user_use_gprs": flag("gprs_session_count", "user_use_gprs"),
+        "user_does_reload": flag("last_100_reloads_count", "user_does_reload"),
+        "user_lifetime": "CAST((year - 1995) * 12 + month AS DOUBLE) AS user_lifetime",
+        "user_intake": "CASE WHEN _first THEN 1D ELSE 0D END AS user_intake",
+        "user_spendings": f"{spent} AS user_spendings",
+        "user_no_outgoing_activity_in_days":
+            "CAST(datediff(_end, _last_active) AS DOUBLE) AS user_no_outgoing_activity_in_days",
+    }
+    made |= {f"{name}_inactive_days": f"CAST({longest_gap_sql(f'_mask_{name}', '_days')} AS DOUBLE) AS {name}_inactive_days"
+             for name in _ACTIVE}
+    made |= {f"last_100_{name}": f"{sum_where('_latest', value, condition)} AS last_100_{name}"
+             for name, (value, condition) in _LATEST.items()}
+    return panel.selectExpr(KEY, "year", "month", *[made.get(c, c) for c in FULL_FEATURES])
 
 
 def account_label(orders: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
@@ -155,9 +215,7 @@ def scored_accounts(account_means: DataFrame) -> DataFrame:
     raw = (F.lit(0.4871) + F.lit(0.0103729) * (z("reloads_inactive_days") - F.lit(14.0))
            - F.lit(0.0513713) * (z("reloads_count") - F.lit(1.0)))
     score = F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4)
-    drivers = [c if c in account_means.columns else "sms_outgoing_to_abroad_count"
-               for c in DASHBOARD_DRIVERS]
     return account_means.select(
         KEY, score.alias(SCORE_COL),
         (score >= F.lit(0.5)).cast("int").alias(PREDICTION_COL),
-        *[z(c).alias(c) for c in drivers])
+        *[z(c).alias(c) for c in DRIVER_NAMES])
