@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import exact_quantiles
+from ..functions.selection import exact_quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
@@ -27,14 +27,10 @@ def describe_columns(df: DataFrame, cols: list[str], by: list[str] = ()) -> Data
     """
     by = list(by)
     long = _long(df, cols, by)
-    v = F.col("value")
-    long = long.where(v.isNotNull() & ~F.isnan(v))
-    moments = long.groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    q = exact_quantiles(long, [*by, "column"], "value", QUARTILES, method="linear", eager=True)
-    return moments.join(q, [*by, "column"], "left").select(
-        *by, "column", "count", "mean", "std", "min", *QUARTILES, "max")
+    v = F.col("_v")
+    stats = {"count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+    q = exact_quantiles(long, [*by, "column"], "value", QUARTILES, stats=stats)
+    return q.where("count > 0").select(*by, "column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def _moment_sums(cols: list[str], shift: list[float]):
@@ -152,8 +148,7 @@ def rate_by_level(df: DataFrame, label: str, indicators: list[str]) -> DataFrame
 def class_quartiles(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """Exact quartiles of every column within each class (inner box of a violin plot)."""
     long = _long(df, cols, [label])
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return exact_quantiles(long, [label, "column"], "value", QUARTILES, method="linear", eager=True)
+    return exact_quantiles(long, [label, "column"], "value", QUARTILES, method="linear")
 
 
 def class_histogram(df: DataFrame, cols: list[str], label: str, n_bins: int = 50) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import exact_quantiles
+from ..functions.selection import exact_quantiles
 from ..schema import KEY, PREDICTION_COL, SCORE_COL
 
 
@@ -18,7 +18,7 @@ def gather_drivers(df: DataFrame, id_cols: list[str], drivers: list[str]) -> Dat
 def loyal_quartiles(scored: DataFrame, drivers: list[str], prediction_col: str = PREDICTION_COL) -> DataFrame:
     """(driver, q1, median, q3, iqr) over the accounts predicted to stay (exact, interpolated)."""
     loyal = gather_drivers(scored.where(F.col(prediction_col) == 0), [], drivers)
-    q = exact_quantiles(loyal, ["driver"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, eager=True)
+    q = exact_quantiles(loyal, ["driver"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return q.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 

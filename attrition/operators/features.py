@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import dlit, q
-from ..functions.ranking import exact_quantiles
+from ..functions.selection import exact_quantiles
 
 
 def encode_features(df: DataFrame, cat_features: list[str], suffix: str = "ohe",

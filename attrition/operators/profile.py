@@ -13,8 +13,9 @@ decimals; percentiles are observed values. Columns without any present value
 keep only type and dType. Numeric-only statistics are null for categoricals.
 
 ``exact=True`` replaces the two sketches by exact distributed computations
-(distinct values by a two-level aggregation, discrete percentiles by range
-prefix sums); the default follows the sketch-based original.
+(distinct values by a two-level aggregation, discrete percentiles by rank
+selection, 64-bit integers and decimals in their own type); the default
+follows the sketch-based original.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import not_missing, standard_error
-from ..functions.ranking import exact_quantiles
+from ..functions.selection import exact_quantiles
 
 STAT_ORDER = ("type", "dType", "missing_data_fraction", "distinct_values", "zeros_fraction", "avg",
               "stddev_of_avg", "stddev", "min", "pc25", "pc50", "pc75", "max")
@@ -69,33 +70,31 @@ def _meta(kinds: dict[str, tuple[str, str]], spark) -> DataFrame:
     return spark.createDataFrame(rows, "column string, type string, dType string, position int")
 
 
+def _by_type(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    """Column type of the unpivoted value -> columns; 64-bit integers and decimals keep all their digits."""
+    out: dict[str, list[str]] = {}
+    for c in cols:
+        t = df.schema[c].dataType
+        out.setdefault(t.simpleString() if isinstance(t, (T.LongType, T.DecimalType)) else "double", []).append(c)
+    return out
+
+
 def numeric_stats(df: DataFrame, cols: list[str], exact: bool = False, accuracy: int = 10_000,
                   digits: int = 3) -> DataFrame:
-    long = _long(df, cols, "double")
-    v = F.col("value")
-    ok = not_missing(v, "num")
-    pv = F.when(ok, v)
-    aggs = [F.count(F.lit(1)).alias("_rows"), F.count_if(ok).alias("_present"),
-            F.count_if(ok & (v == 0)).alias("_zeros"),
-            F.avg(pv).alias("avg"), F.stddev_samp(pv).alias("stddev"),
-            F.min(pv).alias("min"), F.max(pv).alias("max")]
-    if not exact:
-        aggs += [F.approx_count_distinct(pv).alias("distinct_values"),
-                 F.percentile_approx(pv, list(PERCENTILES.values()), accuracy).alias("_pcts")]
-    stats = long.groupBy("column").agg(*aggs)
     if exact:
-        present = long.where(ok)
-        # one pass collapses (column, value); it yields the distinct counts and the percentiles
-        pcts = exact_quantiles(present, ["column"], "value", PERCENTILES, method="discrete", eager=True,
-                               with_distinct=True).withColumnRenamed("n_distinct", "distinct_values")
-        stats = stats.join(pcts, "column", "left")
-        wide = [c for c in cols if isinstance(df.schema[c].dataType, (T.LongType, T.DecimalType))]
-        if wide:  # doubles would merge neighbours above 2^53
-            whole = _long(df, wide, "string").where(F.col("value").isNotNull()).distinct().groupBy("column").agg(
-                F.count(F.lit(1)).alias("_whole"))
-            stats = (stats.join(whole, "column", "left")
-                     .withColumn("distinct_values", F.coalesce("_whole", "distinct_values")).drop("_whole"))
+        parts = [_exact_stats(_long(df, some, kind)) for kind, some in _by_type(df, cols).items()]
+        stats = parts[0]
+        for p in parts[1:]:
+            stats = stats.unionByName(p)
     else:
+        long = _long(df, cols, "double")
+        v = F.col("value")
+        ok = not_missing(v, "num")
+        pv = F.when(ok, v)
+        stats = long.groupBy("column").agg(
+            F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in _moments(pv).items()],
+            F.approx_count_distinct(pv).alias("distinct_values"),
+            F.percentile_approx(pv, list(PERCENTILES.values()), accuracy).alias("_pcts"))
         stats = stats.select("*", *[F.col("_pcts")[i].alias(n) for i, n in enumerate(PERCENTILES)])
     return stats.select(
         "column", "_rows", "_present",
@@ -106,6 +105,19 @@ def numeric_stats(df: DataFrame, cols: list[str], exact: bool = False, accuracy:
         "min", *PERCENTILES, "max")
 
 
+def _moments(v: Column) -> dict[str, Column]:
+    return {"_present": F.count(v), "_zeros": F.count_if(v == 0), "avg": F.avg(v), "stddev": F.stddev_samp(v),
+            "min": F.min(v), "max": F.max(v)}
+
+
+def _exact_stats(long: DataFrame) -> DataFrame:
+    """Moments, discrete percentiles and distinct count of (column, value) in the values' own type, then as double."""
+    stats = {"_rows": F.count(F.lit(1)), **_moments(F.col("_v"))}
+    out = exact_quantiles(long, ["column"], "value", PERCENTILES, method="discrete", with_distinct=True, stats=stats)
+    return out.select("column", "_rows", "_present", "_zeros", F.col("n_distinct").alias("distinct_values"),
+                      *[F.col(c).cast("double").alias(c) for c in ("avg", "stddev", "min", *PERCENTILES, "max")])
+
+
 def categorical_stats(df: DataFrame, cols: list[str], exact: bool = False, digits: int = 3) -> DataFrame:
     long = _long(df, cols, "string")
     v = F.col("value")

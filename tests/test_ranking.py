@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from attrition.functions.ranking import auc_by_rank, exact_quantiles, ranked, roc_points
+from attrition.functions.ranking import auc_by_rank, ranked, roc_points
+from attrition.functions.selection import exact_quantiles
 
 
 def _brute_auc(scores, labels):
@@ -19,8 +20,8 @@ def test_exact_quantiles_match_numpy(spark):
     rows += [("c", 7.0)] + [("a", None), ("b", float("nan"))]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    lin = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", probs, n_buckets=5).collect()}
-    disc = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", probs, method="discrete", n_buckets=5).collect()}
+    lin = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", probs).collect()}
+    disc = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", probs, method="discrete").collect()}
     for g in "abc":
         vals = np.array(sorted(x for gg, x in rows if gg == g and x is not None and x == x))
         for name, p in probs.items():
@@ -75,14 +76,14 @@ def test_hot_group_and_hot_value_through_range_path(spark):
         vals = np.array(sorted(x for gg, x in rows if gg == g))
         for x, before, total in mine:
             assert before == int(np.sum(vals < x)) and total == len(vals)
-    q = {r["g"]: r["m"] for r in R.exact_quantiles(df, ["g"], "x", {"m": 0.5}).collect()}
+    q = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "x", {"m": 0.5}).collect()}
     assert q["hot"] == pytest.approx(np.quantile([x for gg, x in rows if gg == "hot"], 0.5))
 
 
 def test_null_group_is_kept_on_the_range_path(spark):
     rows = [(None, float(i)) for i in range(50)] + [("a", float(i)) for i in range(30)]
     df = spark.createDataFrame(rows, "g string, x double")
-    q = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "x", {"m": 0.5}, n_buckets=4).collect()}
+    q = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "x", {"m": 0.5}).collect()}
     assert q == {None: 24.5, "a": 14.5}
 
 
@@ -96,5 +97,5 @@ def test_more_than_256_ranges_and_100001_groups(spark):
     ps = R.prefix_sums(df, [], "x", ["_n"], rows_per_bucket=50)
     assert ps.where("_n_before <> x OR _n_total <> 20000").count() == 0
     many = spark.range(300_003).selectExpr("id % 100001 as g", "cast(id div 100001 as double) as x")
-    q = exact_quantiles(many, ["g"], "x", {"m": 0.5}, eager=True)
+    q = exact_quantiles(many, ["g"], "x", {"m": 0.5})
     assert q.count() == 100_001 and q.where("m <> 1").count() == 0
