@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +15,18 @@ from ..operators import models as M
 from ..operators import sampling as S
 from ..operators import score as SC
 from ..operators import select as SEL
+from ..session import ensure_checkpoint_dir
+from ..sources.sinks import load_saved, save_model
 from ..sources.staging import stage
-from ..schema import DASHBOARD_DRIVERS, KEY, PREDICTION_COL, SCORE_COL
+from ..schema import DASHBOARD_DRIVERS, DRIVER_NAMES, KEY, PREDICTION_COL, SCORE_COL
 from .catalogue_explore import _q
 from .inputs import Inputs, finish
 from .oracle_sql import PANEL_FEATURES, r4, with_ctes
 from .registry import query
 
 FEATS = list(PANEL_FEATURES)
-DRIVERS = [c if c != "sms_outgoing_to_abroad_inactive_days" else "sms_outgoing_to_abroad_count"
-           for c in DASHBOARD_DRIVERS]
+DRIVERS = list(DASHBOARD_DRIVERS)
+NAMED_DRIVERS = list(DRIVER_NAMES)
 
 # ---------------------------------------------------------------- sampling
 
@@ -148,7 +152,7 @@ def q_roc_points(t: Inputs):
 # ---------------------------------------------------------------- classifier inputs
 
 
-def model_frame(t: Inputs, k: int = 3) -> DataFrame:
+def model_frame(t: Inputs, k: int = 5) -> DataFrame:
     """Account table with a 70/30 hash split; features filled, standardised with the statistics of
     the training split only, assembled; hash folds for cross-validation on the training split."""
     table = t.stored("account_table").fillna(0.0, subset=FEATS).withColumn("label", F.col("churn").cast("double"))
@@ -275,19 +279,50 @@ def q_gaussian_nb_predict(t: Inputs):
     return model.transform(t.embeddings).select("vec_id", "label", F.col("prediction").cast("double"))
 
 
-@query("cv_metrics", "E1 E2 E3 E4 E5 (3-fold cross-validation of logistic regression)")
+@query("cv_metrics", "E1 E2 E3 E4 E5 (5-fold cross-validation of logistic regression)")
 def q_cv_metrics(t: Inputs):
     _, _, metrics = EV.cross_validate(train_rows(model_frame(t)), lambda: M.logistic_regression(20))
     return finish(metrics)
 
 
-@query("model_comparison", "E7 (cross-validated AUC, hold-out hard-label AUC and time of several classifiers)")
+#: The ten classifiers that are compared, in the order of the comparison.
+CLASSIFIERS = {
+    "extra_trees": lambda: M.extra_trees(20),
+    "random_forest": lambda: M.random_forest(20),
+    "linear_discriminant": lambda: M.LinearDiscriminant(FEATS),
+    "naive_bayes": lambda: M.GaussianNaiveBayes(FEATS),
+    "gradient_boosting": lambda: M.gradient_boosting(100),
+    "nearest_neighbours": lambda: M.NearestNeighbours(FEATS, k=10, id_col=KEY),
+    "decision_tree": lambda: M.decision_tree(),
+    "logistic_regression": lambda: M.logistic_regression(20),
+    "sgd_logistic": lambda: M.SGDLogistic(FEATS),
+    "rbf_svm": lambda: M.RandomFeatureSVM(FEATS),
+}
+
+
+@query("model_comparison", "E7 S9 S10 (ten classifiers, 5 folds, saved, reloaded, judged on the hold-out, predictions written)")
 def q_model_comparison(t: Inputs):
-    models = {"naive_bayes": lambda: M.GaussianNaiveBayes(FEATS), "lda": lambda: M.LinearDiscriminant(FEATS),
-              "logistic": lambda: M.logistic_regression(20), "tree": lambda: M.decision_tree(),
-              "forest": lambda: M.random_forest(20)}
     data = model_frame(t)
-    return finish(EV.compare_models(train_rows(data), models, test=data.where(F.col("split") == "test")))
+    where = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/comparison-{uuid.uuid4().hex}"
+    return finish(EV.compare_models(train_rows(data), CLASSIFIERS, test=data.where(F.col("split") == "test"),
+                                    model_dir=f"{where}/models", prediction_dir=f"{where}/predictions", id_col=KEY))
+
+
+@query("saved_models", "S9 (the five hand-written models score the same after a save and a load, every account)",
+       sql=with_ctes("select user_account_id, unnest(['linear_discriminant', 'naive_bayes', 'nearest_neighbours', "
+                     "'sgd_logistic', 'rbf_svm']) as model, true as same from account_table", "account_table"))
+def q_saved_models(t: Inputs):
+    data = model_frame(t)
+    where = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    out = None
+    for name in ("linear_discriminant", "naive_bayes", "nearest_neighbours", "sgd_logistic", "rbf_svm"):
+        model = CLASSIFIERS[name]().fit(train_rows(data))
+        save_model(model, f"{where}/{name}")
+        before = model.transform(data).select(KEY, F.col("score").alias("before"))
+        after = load_saved(t.spark, f"{where}/{name}").transform(data).select(KEY, F.col("score").alias("after"))
+        same = before.join(after, KEY).select(KEY, F.lit(name).alias("model"), F.col("before").eqNullSafe(F.col("after")).alias("same"))
+        out = same if out is None else out.unionByName(same)
+    return out
 
 
 @query("feature_weights", "E8 (sparse logistic weights, ascending)")
@@ -304,12 +339,12 @@ def q_feature_elimination(t: Inputs):
     return finish(table)
 
 
-@query("embedding_learnability", "models learn: one-vs-rest logistic AUC on embeddings (3 folds)")
+@query("embedding_learnability", "models learn: one-vs-rest logistic AUC on embeddings (5 folds)")
 def q_embedding_learnability(t: Inputs):
     emb = t.embeddings.select("vec_id", (F.col("label") == 0).cast("double").alias("label"),
                               *[F.expr(f"CAST(element_at(embedding, {i + 1}) AS DOUBLE) AS e{i}") for i in range(_DIMS)])
     data = FE.assemble_features(emb, [f"e{i}" for i in range(_DIMS)], output_col=M.FEATURES)
-    data = S.with_hash_folds(data, ["vec_id"], 3)
+    data = S.with_hash_folds(data, ["vec_id"], 5)
     _, _, metrics = EV.cross_validate(data, lambda: M.logistic_regression(50))
     return finish(metrics)
 
@@ -336,8 +371,8 @@ def q_call_list(t: Inputs):
 
 
 def _box_sql() -> str:
-    long = (f"(select * from (select {', '.join(DRIVERS)} from scored where {PREDICTION_COL} = 0) "
-            f"unpivot (value for driver in ({', '.join(DRIVERS)})))")
+    long = (f"(select * from (select {', '.join(NAMED_DRIVERS)} from scored where {PREDICTION_COL} = 0) "
+            f"unpivot (value for driver in ({', '.join(NAMED_DRIVERS)})))")
     return with_ctes(
         "select driver, " + ", ".join(f"{r4(c)} as {c}" for c in ("q1", "median", "q3", "iqr"))
         + ", " + r4("min(value) filter (where value >= q1 - 1.5 * iqr)") + " as whisker_lo, "
@@ -350,12 +385,12 @@ def _box_sql() -> str:
 
 @query("driver_box_stats", "A22 A23 (loyal quartiles, whiskers, outliers per driver)", sql=_box_sql())
 def q_driver_box_stats(t: Inputs):
-    return finish(DR.box_stats(t.stored("scored"), DRIVERS))
+    return finish(DR.box_stats(t.stored("scored"), NAMED_DRIVERS))
 
 
 def _outlier_sql() -> str:
-    loyal = (f"(select * from (select user_account_id, {', '.join(DRIVERS)} from scored where {PREDICTION_COL} = 0) "
-             f"unpivot (value for driver in ({', '.join(DRIVERS)})))")
+    loyal = (f"(select * from (select user_account_id, {', '.join(NAMED_DRIVERS)} from scored where {PREDICTION_COL} = 0) "
+             f"unpivot (value for driver in ({', '.join(NAMED_DRIVERS)})))")
     return with_ctes(
         f"select user_account_id, driver, {r4('value')} as value from (select l.*, "
         "quantile_cont(value, 0.25) over (partition by driver) as q1, "
@@ -365,12 +400,12 @@ def _outlier_sql() -> str:
 
 @query("driver_outliers", "A23 (loyal values beyond the whiskers, as rows)", sql=_outlier_sql())
 def q_driver_outliers(t: Inputs):
-    return finish(DR.outliers(t.stored("scored"), DRIVERS))
+    return finish(DR.outliers(t.stored("scored"), NAMED_DRIVERS))
 
 
 def _box_scaled_sql() -> str:
-    loyal = (f"(select * from (select {', '.join(DRIVERS)} from scored where {PREDICTION_COL} = 0) "
-             f"unpivot (value for driver in ({', '.join(DRIVERS)})))")
+    loyal = (f"(select * from (select {', '.join(NAMED_DRIVERS)} from scored where {PREDICTION_COL} = 0) "
+             f"unpivot (value for driver in ({', '.join(NAMED_DRIVERS)})))")
     scaled = (f"(select l.driver, (l.value - s.median) / nullif(s.iqr, 0) as value from {loyal} l join "
               f"(select driver, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.75) - "
               f"quantile_cont(value, 0.25) as iqr from {loyal} z group by driver) s using (driver) "
@@ -388,7 +423,7 @@ def _box_scaled_sql() -> str:
 @query("driver_box_scaled", "A23 M5 (loyal box statistics on the robust-scaled drivers, as drawn)",
        sql=_box_scaled_sql())
 def q_driver_box_scaled(t: Inputs):
-    return finish(DR.scaled_box_stats(t.stored("scored"), DRIVERS))
+    return finish(DR.scaled_box_stats(t.stored("scored"), NAMED_DRIVERS))
 
 
 def _analysis_sql() -> str:
