@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import dlit, q
+from ..functions.ranking import ranked
 from ..functions.selection import exact_quantiles
+from ..sources.staging import stage
 
 
 def encode_features(df: DataFrame, cat_features: list[str], suffix: str = "ohe",
@@ -18,7 +20,7 @@ def encode_features(df: DataFrame, cat_features: list[str], suffix: str = "ohe",
     encoded column, its level names without the dropped last level. With the
     default ``handle_invalid="error"`` the dropped slot is the least frequent
     level (``"keep"`` would add an invalid slot and drop that one instead).
-    The fitted indexer holds every level in the driver, whatever their number.
+    The fitted indexer holds every level in the driver; ``encode_levels`` does not.
     """
     if not cat_features:
         return df, {}
@@ -34,17 +36,51 @@ def encode_features(df: DataFrame, cat_features: list[str], suffix: str = "ohe",
     return encoded, labels
 
 
+def level_index(df: DataFrame, column: str) -> DataFrame:
+    """(level, index): the non-null levels numbered from 0 by descending frequency, ties by level.
+
+    Levels are counted with partial aggregation and numbered range by range
+    (prefix counts), so neither a task nor the driver holds all of them.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(
+        (-F.count(F.lit(1))).alias("_rarity"))
+    return ranked(counts, [], "_rarity", tiebreak=["level"]).select("level", F.col("row_index").cast("double").alias("index"))
+
+
+def encode_levels(df: DataFrame, cat_features: list[str], suffix: str = "ohe", drop_last: bool = True,
+                  handle_invalid: str = "error") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """One-hot encoding for any number of levels: sparse vectors ``<col><suffix>`` and the table of levels by column.
+
+    Index and slots are those of ``encode_features``, with the level table as a
+    joined (level, index) frame. Spark broadcasts it only below its size
+    threshold; the driver holds no level. A null level is an error as soon as a row is
+    read, or with ``handle_invalid="keep"`` a slot of its own behind the levels.
+    """
+    tables: dict[str, DataFrame] = {}
+    out = df
+    for c in cat_features:
+        tables[f"{c}{suffix}"] = levels = stage(level_index(df, c), "levels")
+        named = levels.select(F.col("level").alias(f"_l_{c}"), F.col("index").alias(f"{c}_index"))
+        out = out.join(named, F.col(c).cast("string") == F.col(f"_l_{c}"), "left").drop(f"_l_{c}")
+    encoder = OneHotEncoder(inputCols=[f"{c}_index" for c in cat_features], outputCols=list(tables), dropLast=drop_last,
+                            handleInvalid=handle_invalid)
+    if handle_invalid == "keep":  # the slot behind the levels
+        sizes = {c: tables[f"{c}{suffix}"].count() for c in cat_features}
+        out = out.withColumns({f"{c}_index": F.coalesce(f"{c}_index", F.lit(float(n))) for c, n in sizes.items()})
+    else:
+        failure = F.raise_error(F.lit("a categorical holds a null level")).cast("double")
+        out = out.withColumns({f"{c}_index": F.coalesce(f"{c}_index", failure) for c in cat_features})
+    return (encoder.fit(out).transform(out) if cat_features else out), tables
+
+
 def level_table(df: DataFrame, column: str, drop_last: bool = True) -> DataFrame:
-    """(level, count, index, slot) of a categorical: slot is the one-hot position, null for the dropped level."""
-    model = StringIndexer(inputCol=column, outputCol="_idx", stringOrderType="frequencyDesc").fit(df)
-    levels = list(model.labels)
-    n = len(levels)
-    rows = [(lv, i, None if (drop_last and i == n - 1) else i) for i, lv in enumerate(levels)]
-    spark = df.sparkSession
-    idx = spark.createDataFrame(rows, "level string, index int, slot int")
+    """(level, index, slot, count) of a categorical: slot is the one-hot position, null for the dropped level."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(
         F.count(F.lit(1)).alias("count"))
-    return idx.join(counts, "level", "left")
+    numbered = ranked(counts.withColumn("_rarity", -F.col("count")), [], "_rarity", tiebreak=["level"])
+    index = F.col("row_index").cast("int")
+    kept = F.lit(not drop_last) | (F.col("row_index") < F.col("group_size") - 1)
+    return numbered.select("level", index.alias("index"), F.when(kept, index).alias("slot"), "count")
 
 
 def assemble_features(df: DataFrame, num_features: list[str], cat_features: list[str] = (),

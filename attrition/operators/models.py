@@ -411,11 +411,18 @@ class RandomFeatureSVMModel(Model, Persisted):
         return {"svc": self.svc}
 
     def featurise(self, df: DataFrame) -> DataFrame:
-        scale = dlit(math.sqrt(2.0 / len(self.b)))
-        z = df.withColumns({f"_rff{j}": F.expr(f"{scale} * cos({_dot(self.exprs, w, b)})")
-                            for j, (w, b) in enumerate(zip(self.w, self.b))})
-        names = [f"_rff{j}" for j in range(len(self.b))]
-        return VectorAssembler(inputCols=names, outputCol="_rffv").transform(z).drop(*names)
+        from pyspark.ml.functions import array_to_vector
+
+        w, b, scale = self.w, self.b, math.sqrt(2.0 / len(self.b))
+
+        @F.arrow_udf("array<double>")
+        def features(*columns: pa.Array) -> pa.Array:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])
+            z = scale * np.cos(x @ w.T + b)
+            return pa.ListArray.from_arrays(np.arange(0, z.size + 1, len(b), dtype=np.int32), pa.array(z.ravel()))
+
+        columns = [F.expr(f"CAST({e} AS DOUBLE)") for e in self.exprs]
+        return df.withColumn("_rffv", array_to_vector(features(*columns)))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
@@ -429,7 +436,7 @@ class RandomFeatureSVM(_Trainer):
     """Approximate RBF-kernel SVM: ``z(x) = sqrt(2/D) cos(W x + b)`` then a linear SVM.
 
     ``gamma`` defaults to ``1 / d`` (inputs standardised). W and b are drawn on
-    the driver (D x d numbers) and become column expressions.
+    the driver (D x d numbers) and applied to Arrow batches.
     """
 
     def __init__(self, features, label: str = "label", n_components: int = 100, gamma: float | None = None,

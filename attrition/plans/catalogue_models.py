@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,28 @@ def q_one_hot_labels(t: Inputs):
     return a.unionByName(b)
 
 
+def _slot_sql(tbl: str, key: str, c: str) -> str:
+    return (f"select '{tbl}.{c}' as \"column\", {key} as id, {c} as level, "
+            f"case when i < n - 1 then cast(i + 1 as int) else 0 end as slot, cast(n - 1 as int) as size from {tbl} join ("
+            f"select {c}, row_number() over (order by count(*) desc, {c}) - 1 as i, count(*) over () as n "
+            f"from {tbl} where {c} is not null group by {c}) l using ({c})")
+
+
+@query("one_hot_slots", "M2 (encoded vectors: the slot that is 1, 0 for the dropped last level)",
+       sql=_slot_sql("customer", "c_custkey", "c_mktsegment") + " union all "
+       + _slot_sql("orders", "o_orderkey", "o_orderpriority"))
+def q_one_hot_slots(t: Inputs):
+    out = None
+    for name, key, c in (("customer", "c_custkey", "c_mktsegment"), ("orders", "o_orderkey", "o_orderpriority")):
+        encoded, _ = FE.encode_levels(t.table(name).where(F.col(c).isNotNull()), [c])
+        vector = vector_to_array(F.col(f"{c}ohe"))
+        part = encoded.select(F.lit(f"{name}.{c}").alias("column"), F.col(key).alias("id"), F.col(c).alias("level"),
+                              F.array_position(vector, F.lit(1.0)).cast("int").alias("slot"),
+                              F.size(vector).alias("size"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _STD_SQL = with_ctes(
     "select user_account_id, "
     + ", ".join(f"{r4(f'coalesce(({c} - avg({c}) over ()) / nullif(stddev_samp({c}) over (), 0), 0.0)')} as {c}"
