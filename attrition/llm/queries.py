@@ -141,7 +141,36 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@register()
+@register(sql=r"""
+    WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+    low AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w,
+                   count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+    keyed AS (SELECT row_number() OVER () AS r, w, k, id || ':' || w AS s FROM low),
+    spelled AS (SELECT r, flatten(list_transform(string_split(s, ''),
+                  lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END)) AS b FROM keyed),
+    placed AS (SELECT r, unnest(b) AS byte, unnest(range(0, len(b))) AS i, len(b) AS size FROM spelled),
+    bit AS (SELECT range AS byte, range AS v, 0 AS j FROM range(256)
+            UNION ALL SELECT byte, xor(v >> 1, 3988292384 * (v & 1)), j + 1 FROM bit WHERE j < 8),
+    base AS (SELECT byte, v FROM bit WHERE j = 8),
+    far AS (SELECT byte, v, 0 AS behind FROM base
+            UNION ALL SELECT far.byte, xor(far.v >> 8, base.v), behind + 1 FROM far JOIN base ON base.byte = far.v & 255
+            WHERE behind < (SELECT max(size) FROM placed)),
+    crc AS (SELECT r, xor(bit_xor(far.v), 4294967295) AS h FROM placed
+            JOIN far ON far.byte = xor(placed.byte, CASE WHEN i < 4 THEN 255 ELSE 0 END) AND far.behind = size - 1 - i GROUP BY r),
+    v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word,
+                 sum(k)::BIGINT AS n FROM crc JOIN keyed USING (r) GROUP BY 1 HAVING length(word) >= 5 AND sum(k) >= 3),
+    cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v) z),
+    near AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+             UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON cut.rest = v.word
+             UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON cut.rest = v.word),
+    best AS (SELECT word, count(*) AS n_near, max(n) AS top, arg_min(near, (-n, near)) AS form FROM near GROUP BY word),
+    judged AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN form END AS form,
+                      CASE WHEN top >= 2 * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+    chain AS (SELECT word, form AS root FROM judged WHERE form IS NOT NULL
+              UNION ALL SELECT c.word, j.form FROM chain c JOIN judged j ON c.root = j.word WHERE j.form IS NOT NULL),
+    ends AS (SELECT c.word, c.root FROM chain c JOIN judged j ON c.root = j.word WHERE j.form IS NULL)
+    SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM judged LEFT JOIN ends USING (word)""")
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.forms(variants.vocabulary(table(spark, sf_dir, "documents"), noise_every=97))
 
