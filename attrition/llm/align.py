@@ -24,8 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -34,58 +33,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Memo
 from .storage import stage
-from .token_files import _byte_letters, text_encoder
+from .token_files import _byte_letters, _plain
 
 #: A chunk is closed by the document that fills it to so many tokens of A.
 CHUNK_TOKENS = 1_000_000
 
-_RUN_OF_BLANKS = re.compile(r"\s\s")
-_BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
-#: Longest unit that is remembered.
-_LONG_UNIT = 64
-
-
-def units(text: str) -> list[str]:
-    """``" " + text`` cut before each single space between two non-blank characters; the spaces are left out."""
-    if _RUN_OF_BLANKS.search(text) or text[0].isspace() or text[-1].isspace():
-        return [u[1:] for u in _BOUNDARY.split(" " + text)]
-    return text.split(" ")
-
 
 class Tokenizer:
-    """Ids of texts, and each id's bytes.
+    """Ids of whole texts (with the space before them), and each id's bytes."""
 
-    A unit's ids do not depend on its neighbours (see ``units``), so those of
-    short units are remembered, in bounded space.
-    """
-
-    def __init__(self, encode, spelled: list[bytes], by_units: bool, capacity: int = 200_000):
-        self.encode, self.spelled, self.by_units = encode, spelled, by_units
+    def __init__(self, encode: Callable[[str], list[int]], spelled: list[bytes]):
+        self.encode, self.spelled = encode, spelled
         self.lengths = np.array([len(b) for b in spelled], np.int64)
         self.names = [str(i) for i in range(len(spelled))]
-        self.memo = Memo(lambda u: self.encode(u), capacity)
-
-    def __call__(self, text: str, cut: list[str]) -> np.ndarray:
-        if not self.by_units:
-            return np.frombuffer(self.encode(text), "<u4")
-        if max(map(len, cut)) <= _LONG_UNIT:
-            return np.frombuffer(self.memo.join(cut), "<u4")
-        return np.frombuffer(b"".join([self.memo(u) if len(u) <= _LONG_UNIT else self.encode(u) for u in cut]), "<u4")
 
 
 @cache
 def byte_level(path: str, pattern: str) -> Tokenizer:
-    """Tokenizer A of a worker process: ids of space + text."""
+    """Tokenizer A of a worker process: ids of space + text.
+
+    A byte-level file whose ids follow the order of its merges says the same
+    as a table of ranks, which the tiktoken library encodes faster; any other
+    file goes through the tokenizers library.
+    """
+    import tiktoken
+    import tokenizers
+
     with open(path, encoding="utf-8") as f:
         form = json.load(f)
+    vocab = form["model"]["vocab"]
     letters = {c: b for b, c in _byte_letters().items()}
-    spelled = [b""] * (1 + max(form["model"]["vocab"].values()))
-    for token, i in form["model"]["vocab"].items():
+    spelled = [b""] * (1 + max(vocab.values()))
+    ranks = {}
+    special = {t["content"] for t in form.get("added_tokens", ())}
+    for token, i in vocab.items():
         spelled[i] = bytes(letters[c] for c in token)
-    encode = text_encoder(path, pattern)
-    return Tokenizer(lambda text: encode(" " + text), spelled, True)
+        if token not in special:
+            ranks[spelled[i]] = i
+    merges = [m if isinstance(m, list) else m.split(" ") for m in form["model"]["merges"]]
+    made = [vocab["".join(m)] for m in merges]
+    if _plain(form) and made == list(range(256, 256 + len(made))) and sorted(ranks.values()) == list(range(len(ranks))):
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return Tokenizer(lambda text: encode(" " + text), spelled)
+    library = tokenizers.Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    return Tokenizer(lambda text: library.encode(" " + text, add_special_tokens=False).ids, spelled)
 
 
 @cache
@@ -97,34 +90,33 @@ def sentence_pieces(path: str) -> Tokenizer:
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     spelled = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode("utf-8")
                for i, p in enumerate(pieces)]
-    # no piece goes on behind a letter with a space: then none crosses a unit's edge
-    by_units = not any("▁" in p.lstrip("▁") for p in pieces)
-    return Tokenizer(lambda text: np.array(model.encode(text, num_threads=1), "<u4").tobytes(), spelled, by_units)
+    return Tokenizer(lambda text: model.encode(text, num_threads=1), spelled)
 
 
-def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int]]:
+def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token counts of A and of B up to the end of each group; the last ends of both are equal."""
     a, b = ends_a.tolist(), ends_b.tolist()
     raw_a, raw_b = ends_a.astype("<i8").tobytes(), ends_b.astype("<i8").tobytes()
     n_a, n_b = len(a), len(b)
     i = j = 0
-    out_a, out_b = [], []
+    first_a, first_b, runs = [], [], []  # stretches of one-to-one groups, or a single group of any kind
     while i < n_a:
-        run, step = 0, 1
-        while True:
-            step = min(step, n_a - i - run, n_b - j - run)
-            x, y = 8 * (i + run), 8 * (j + run)
-            if step and raw_a[x:x + 8 * step] == raw_b[y:y + 8 * step]:
-                run += step
-                step *= 2
-            else:
-                break
-        if step > 1:
-            while a[i + run] == b[j + run]:
-                run += 1
-        if run:
-            out_a.extend(range(i + 1, i + run + 1))
-            out_b.extend(range(j + 1, j + run + 1))
+        if a[i] == b[j]:
+            run, step = 1, 1
+            while True:
+                step = min(step, n_a - i - run, n_b - j - run)
+                x, y = 8 * (i + run), 8 * (j + run)
+                if step and raw_a[x:x + 8 * step] == raw_b[y:y + 8 * step]:
+                    run += step
+                    step *= 2
+                else:
+                    break
+            if step > 1:
+                while a[i + run] == b[j + run]:
+                    run += 1
+            first_a.append(i + 1)
+            first_b.append(j + 1)
+            runs.append(run)
             i += run
             j += run
             if i == n_a:
@@ -139,25 +131,29 @@ def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[
                 at_b = b[j]
         i += 1
         j += 1
-        out_a.append(i)
-        out_b.append(j)
-    return out_a, out_b
+        first_a.append(i)
+        first_b.append(j)
+        runs.append(1)
+    lengths = np.array(runs, np.int64)
+    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return (np.repeat(np.array(first_a, np.int64), lengths) + within,
+            np.repeat(np.array(first_b, np.int64), lengths) + within)
 
 
 class Aligned:
     """One text's ids, the token counts up to each group's end, and its links (A id << 32 | B id)."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, upto_a: list[int], upto_b: list[int]):
+    def __init__(self, a: list[int], b: list[int], upto_a: np.ndarray, upto_b: np.ndarray):
         self.a, self.b, self.upto_a, self.upto_b = a, b, upto_a, upto_b
-        last_a, last_b = (np.array(x, np.int64) - 1 for x in (upto_a, upto_b))
-        self.links = a[last_a].astype(np.uint64) << np.uint64(32) | b[last_b].astype(np.uint64)
+        last_a, last_b = np.array(a, np.uint64)[upto_a - 1], np.array(b, np.uint64)[upto_b - 1]
+        self.links = last_a << np.uint64(32) | last_b
 
     def groups(self, names_a: list[str], names_b: list[str]) -> str:
         """``a1,a2|b1;a3|b2,b3``: the decimal ids of each group."""
-        a = [names_a[i] for i in self.a.tolist()]
-        b = [names_b[i] for i in self.b.tolist()]
+        a = list(map(names_a.__getitem__, self.a))
+        b = list(map(names_b.__getitem__, self.b))
         out, i, j = [], 0, 0
-        for k, m in zip(self.upto_a, self.upto_b):
+        for k, m in zip(self.upto_a.tolist(), self.upto_b.tolist()):
             left = a[i] if k == i + 1 else ",".join(a[i:k])
             right = b[j] if m == j + 1 else ",".join(b[j:m])
             out.append(f"{left}|{right}")
@@ -165,17 +161,16 @@ class Aligned:
         return ";".join(out)
 
 
-NOTHING = Aligned(np.zeros(0, "<u4"), np.zeros(0, "<u4"), [], [])
+NOTHING = Aligned([], [], np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def align_text(text: str | None, a: Tokenizer, b: Tokenizer) -> Aligned:
     if not text:
         return NOTHING
-    cut = units(text)
-    ids_a, ids_b = a(text, cut), b(text, cut)
+    ids_a, ids_b = a.encode(text), b.encode(text)
     whole = (" " + text).encode("utf-8")
     for t, ids in ((a, ids_a), (b, ids_b)):
-        if b"".join(map(t.spelled.__getitem__, ids.tolist())) != whole:
+        if b"".join(map(t.spelled.__getitem__, ids)) != whole:
             return NOTHING
     return Aligned(ids_a, ids_b, *group_ends(np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b])))
 

@@ -100,3 +100,44 @@ class PieceEncoder:
             return b"".join(chain.from_iterable(
                 (self.unit(u),) if len(u) <= self.long_unit else (self._unit(u),) for u in found))
         return self.unit.join(found)
+
+
+class UnitEncoder:
+    """Token ids as bytes of whole texts; like ``PieceEncoder``, for a cheap ``encode_piece``.
+
+    Only units are remembered. A unit of letters and one mark is put together
+    from the unit without the mark, which is often known, and the mark.
+    """
+
+    def __init__(self, encode_piece: Callable[[str], bytes], pattern: str, capacity: int = 500_000, long_unit: int = 64):
+        self.encode_piece, self.matches, self.capacity, self.long_unit = encode_piece, matcher(pattern), capacity, long_unit
+        self.marks = {m: encode_piece(m) for m in _MARKS}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _unit(self, unit: str) -> bytes:
+        known = self.young.get(unit)
+        if known is None:
+            known = self.old.get(unit)
+            if known is None:
+                mark = self.marks.get(unit[-1:])
+                if unit.isalpha():
+                    known = self.encode_piece(" " + unit)
+                elif mark is not None and unit[:-1].isalpha():
+                    known = self._unit(unit[:-1]) + mark
+                else:
+                    known = b"".join(map(self.encode_piece, self.matches(unit)))
+            if len(unit) <= self.long_unit:
+                if len(self.young) >= self.capacity:
+                    self.old, self.young = self.young, {}
+                self.young[unit] = known
+        return known
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        found = units(text)
+        parts = list(map(self.young.get, found))
+        if None in parts:
+            parts = [self._unit(u) if ids is None else ids for u, ids in zip(found, parts)]
+        return b"".join(parts)

@@ -10,7 +10,7 @@ block knows how many ids of its part come before it, so a reader only needs
 the totals of the parts (one row per written partition) for global offsets.
 
 Defined results: a null or empty text holds the end id alone; null ids come
-first; rows that repeat an id follow one another; special-token strings inside
+first; rows that repeat an id follow one another in the order of a hash of their texts; special-token strings inside
 texts are ordinary text; an empty table gives no blocks; extra columns are
 never read.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pieces import PieceEncoder
+from .pieces import UnitEncoder
 
 #: A block ends with the document that fills it to so many ids.
 BLOCK_IDS = 500_000
@@ -94,13 +95,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _plain(form: dict) -> bool:
+    """Whether a file splits texts by the usual pattern of byte-level vocabularies and changes nothing before."""
+    before = form.get("pre_tokenizer") or {}
+    return (before.get("type") == "ByteLevel" and before.get("use_regex", True)
+            and not before.get("add_prefix_space") and not form.get("normalizer"))
+
+
 @cache
 def text_encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     """Ids (little-endian 32-bit) of whole texts by the tokenizers library, per worker process.
 
-    For a plain byte-level BPE file the library's model encodes each distinct
-    match of the pre-split pattern once; other files go through the library
-    whole.
+    For a plain byte-level BPE file the library's model encodes the matches of
+    the pre-split pattern, those of known units once; other files go through
+    the library whole.
     """
     from tokenizers import Tokenizer
 
@@ -108,18 +116,19 @@ def text_encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     tokenizer.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         form = json.load(f)
-    before = form.get("pre_tokenizer") or {}
-    plain = (before.get("type") == "ByteLevel" and before.get("use_regex", True)
-             and not before.get("add_prefix_space") and not form.get("normalizer"))
-    if not plain:
+    if not _plain(form):
         return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    letters, model = _byte_letters(), tokenizer.model
+
+    letters, tokenize = _byte_letters(), tokenizer.model.tokenize
 
     def piece(match: str) -> bytes:
-        spelled = match.encode("utf-8").decode("latin-1").translate(letters)
-        return np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
+        if match.isascii() and match.isprintable():  # of these only the space has another letter
+            spelled = match.replace(" ", letters[0x20])
+        else:
+            spelled = match.encode("utf-8").decode("latin-1").translate(letters)
+        return array("I", [t.id for t in tokenize(spelled)]).tobytes()
 
-    return PieceEncoder(piece, pattern)
+    return UnitEncoder(piece, pattern)
 
 
 def _block(part: int, block: int, before: int, doc_ids: list, pieces: list[bytes], end_id: int) -> dict:
@@ -163,7 +172,7 @@ def write_tokens(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    (rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, BLOCK_SCHEMA)
+    (rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text")).mapInArrow(run, BLOCK_SCHEMA)
      .write.mode("errorifexists").parquet(path))
 
 

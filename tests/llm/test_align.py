@@ -12,8 +12,8 @@ from tokenizers import Tokenizer
 from attrition.llm import align as L
 from attrition.llm import queries
 
-A, B, PATTERN = vocabularies.path("byte_bpe_50k.json"), vocabularies.path("piece_bpe_32k.model"), vocabularies.PATTERN
-WHERE = (A, PATTERN, B)
+A, B = vocabularies.path("byte_bpe_50k.json"), vocabularies.path("piece_bpe_32k.model")
+WHERE = (A, vocabularies.PATTERN, B)
 
 
 def libraries():
@@ -82,7 +82,7 @@ TEXT = st.one_of(st.text(max_size=40), st.text(st.sampled_from("ab 's.\n\té1  
 @settings(max_examples=500, deadline=None)
 @given(TEXT)
 def test_texts_against_the_libraries(text):
-    one = L.align_text(text, L.byte_level(A, PATTERN), L.sentence_pieces(B))
+    one = L.align_text(text, L.byte_level(A, vocabularies.PATTERN), L.sentence_pieces(B))
     names = [str(i) for i in range(60_000)]
     want = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in brute_groups(text, *LIBRARIES))
     assert one.groups(names, names) == want

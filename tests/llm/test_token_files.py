@@ -65,3 +65,26 @@ def test_single_documents(spark, small_docs):
 
 def test_empty_table(spark, docs_of):
     assert K.read_index(spark, write(spark, docs_of([]))).count() == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.text(st.sampled_from("ab 's.\n\té1  \x1c\x85\u3000<|>"), max_size=12),
+                          st.sampled_from(["hello", "World,", "don't", "<|endoftext|>", "\U0001f600", "x" * 90])), max_size=12),
+       st.sampled_from([3, 1000]))
+def test_texts_against_the_library(parts, capacity):
+    text = " ".join(parts)
+    encode = ENCODERS.setdefault(capacity, K.UnitEncoder(K.text_encoder(PATH, PATTERN).encode_piece, PATTERN, capacity))
+    want = np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encode(text) == want == encode(text)
+
+
+ENCODERS = {}
+LIBRARY = Tokenizer.from_file(PATH)
+LIBRARY.encode_special_tokens = True
+
+
+def test_repeated_ids_have_a_defined_order(spark, docs_of):
+    rows = [(1, t) for t in ("b", "a", "c", "a")] + [(0, "z")]
+    one = [tuple(r) for r in K.read_index(spark, write(spark, docs_of(rows))).orderBy("start").collect()]
+    two = [tuple(r) for r in K.read_index(spark, write(spark, docs_of(rows[::-1]).repartition(3))).orderBy("start").collect()]
+    assert one == two and len(one) == 5
