@@ -245,11 +245,11 @@ class StreamDecoder:
 class Codec:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, capacity: int = 300_000):
         self.transducer = MergeTransducer(load_ranks(path))
         self.spelling = self.transducer.spelling
         self.whole = StreamDecoder.whole_tokens(self.spelling)
-        self.encode = PieceEncoder(self._piece, pattern)
+        self.encode = PieceEncoder(self._piece, pattern, capacity)
 
     def _piece(self, piece: str) -> bytes:
         return np.array(self.transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
@@ -262,9 +262,9 @@ class Codec:
 
 
 @cache
-def codec(path: str, pattern: str) -> Codec:
-    """The worker process's codec; built once, its states and memo carry over to later tasks."""
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, capacity: int = 300_000) -> Codec:
+    """The worker process's codec; built once, its states and memo (of ``capacity`` units) carry over to later tasks."""
+    return Codec(path, pattern, capacity)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -298,10 +298,10 @@ def _chunks(data: bytes | None, size: int) -> Iterator[list[int]]:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-               chunk: int = 4096) -> DataFrame:
+               chunk: int = 4096, capacity: int = 300_000) -> DataFrame:
     """Encode every whole text, decode its ids, and return digests of both: id, n_tokens, ids_sha256, decoded_sha256."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, capacity)
         for batch in batches:
             n, ids_hex, text_hex = [], [], []
             for text in batch.column(1):

@@ -123,13 +123,15 @@ def idf_table(texts: DataFrame, p: Params) -> np.ndarray:
     What reaches the driver is the summed table: ``8 * p.buckets`` bytes at any input size.
     """
     partial = texts.mapInArrow(_count_table(p), "part int, width int, counts binary")
-    summed = partial.repartition(_PARTS, "part").mapInArrow(_add_tables, "part int, counts binary").collect()
-    df = np.zeros(p.buckets, np.int64)
-    size = p.buckets // _PARTS
-    for row in summed:
-        df[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["counts"], np.int64)
+    summed = partial.repartition(_PARTS, "part").mapInArrow(_add_tables, "part int, counts binary")
     n = texts.count()
-    return (np.log((n + 1) / (np.minimum(df, n) + 1.0)) + 1.0).astype(np.float32)
+    idf = np.empty(p.buckets, np.float32)
+    idf[:] = np.log(n + 1.0) + 1.0
+    size = p.buckets // _PARTS
+    for row in stage(summed, "frequencies").toLocalIterator():  # one part at a time
+        df = np.minimum(np.frombuffer(row["counts"], np.int64), n)
+        idf[row["part"] * size:(row["part"] + 1) * size] = np.log((n + 1) / (df + 1.0)) + 1.0
+    return idf
 
 
 def weights(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -337,6 +339,7 @@ def find_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     texts = docs.select(_place(F.col(id_col)).alias("at"), F.col(text_col).alias("text"))
     bags = stage(texts.mapInArrow(_bag_rows(p, idf, bits), "node binary, found array<bigint>, weight array<float>")
                  .dropDuplicates(["node"]), "bags")
+    bits.destroy()
     members = stage(placed.drop("id").join(_within_reach(bags, p), "node").join(
         signed.where("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys")), "node"), "members")
     # an intersection is at most the smaller common weight, and t / (1 + t) of both totals in a link
@@ -383,6 +386,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     kind = rows.schema["id"].dataType.simpleString()
     signed = stage(rows.mapInArrow(_signatures(p, idf), f"id {kind}, node binary, keys array<bigint>"), "signatures")
     roots = find_links(signed, docs, id_col, text_col, p, idf)
+    idf.destroy()  # all that read it is stored
     placed = signed.select("id", "node")
     if roots is None:
         placed = placed.withColumn("root", F.col("node"))

@@ -8,9 +8,9 @@ predictions, so that a later model meets them as they will be on new texts.
 
 The chain is fitted on a bounded sample of labelled documents (``Params.max_rows``
 rows of smallest id hash).  Features are kept if their chi-square statistic with
-some category is beyond chance for the number of features tried.  What reaches
-the driver is bounded by the sample and ``Params.max_features``; scoring is one
-pass over all whole texts.
+some category is beyond chance for the number of features tried.  The fits run in
+executor tasks; what reaches the driver is ``Params.max_features`` hashes and
+weights.  Scoring is one pass over all whole texts.
 
 Defined results: null, empty and wordless texts get the chain's scores without
 any feature; a label row with a null id or null in all categories is not used,
@@ -29,6 +29,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,30 +167,6 @@ class Chain:
         return out
 
 
-def fit_models(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, folds: np.ndarray, n_features: int,
-               p: Params) -> list[Linear]:
-    """Models of a chain; ``labels`` has a column per category, NaN where unknown."""
-    n, models = len(labels), []
-    before = np.zeros((n, 0))
-    for k in range(labels.shape[1]):
-        y = labels[:, k]
-
-        def fitted(use: np.ndarray) -> Linear:
-            use = use & ~np.isnan(y)
-            number = np.cumsum(use) - 1
-            own = use[rows]
-            return fit_linear(number[rows[own]], cols[own], before[use], y[use], n_features, p.ridge)
-
-        models.append(fitted(np.ones(n, bool)))
-        if k + 1 < labels.shape[1]:
-            held_out = np.zeros(n)
-            for f in range(p.folds):
-                own = folds == f
-                held_out[own] = fitted(~own).logit(rows, cols, before)[own]
-            before = np.column_stack([before, sigmoid(held_out)])
-    return models
-
-
 # --- Spark jobs
 
 def _extract(p: Params):
@@ -265,8 +242,8 @@ def informative(sample: DataFrame, categories: list[str], p: Params) -> np.ndarr
                     "features")
     least = 2.0 * np.log(max(counted.count(), 1) / 0.01)
     top = counted.where(F.col("chi2") >= float(least)).orderBy(F.desc("chi2"), "feature").limit(p.max_features)
-    found = [r["feature"] for r in top.select("feature").collect()]
-    return np.sort(np.array(found, np.int64).view(_U))
+    found = top.select("feature").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(_U))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id",
@@ -283,21 +260,70 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
             for bag in batch.column("features").to_pylist():
                 found = np.frombuffer(bag, _U)
                 hits.append(chain.places(np.zeros(len(found), np.int64), found, maybe)[1].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"),
-                                              pa.array(hits, pa.list_(pa.int32()))], ["fold", "y", "hits"])
-
-    folded = sample.select(F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(p.folds)).cast("int").alias("fold"), "y",
-                           "features")
-    found = folded.mapInArrow(run, "fold int, y array<double>, hits array<int>").toArrow()  # the bounded sample
-    y = np.array([[np.nan if v is None else v for v in r] for r in found.column("y").to_pylist()], float)
-    y = y.reshape(found.num_rows, len(categories))
-    hits = [np.asarray(h, np.int64) for h in found.column("hits").to_pylist()]
-    rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    cols = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-    chain.models = fit_models(rows, cols, y, np.array(found.column("fold").to_pylist()), len(chain.features), p)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("fold"), batch.column("y"),
+                                              pa.array(hits, pa.list_(pa.int32()))], ["row", "fold", "y", "hits"])
+
+    folded = sample.select(F.monotonically_increasing_id().alias("row"),
+                           F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(p.folds)).cast("int").alias("fold"), "y", "features")
+    hits = stage(folded.mapInArrow(run, "row bigint, fold int, y array<double>, hits array<int>"), "hits")
+    chain.models = fit_in_tasks(hits, len(categories), len(chain.features), p)
     return chain
 
 
+_FITTED = "fit int, row bigint, logit double, model binary"
+
+
+def _fit_one(k: int, n_features: int, p: Params):
+    """Fit number ``fit`` of category ``k``: -1 uses all rows; another one leaves its fold out and scores it."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row").combine_chunks()
+        fit, row = table["fit"][0].as_py(), table["row"].to_numpy()
+        fold = table["fold"].to_numpy()
+        y = pc.list_element(table["y"], k).to_numpy(zero_copy_only=False).astype(float)
+        lists = table["hits"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        cols = lists.flatten().to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+        before = np.array(table["before"].to_pylist(), float).reshape(len(y), -1)
+        use = ~np.isnan(y) & (fold != fit)
+        number, own = np.cumsum(use, dtype=np.int32) - 1, use[rows]
+        model = fit_linear(number[rows[own]], cols[own], before[use], y[use], n_features, p.ridge)
+        pa.default_memory_pool().release_unused()
+        if fit < 0:
+            flat = np.concatenate([model.weights, model.earlier, [model.intercept]]).tobytes()
+            return pa.table({"fit": pa.array([fit], pa.int32()), "row": pa.array([None], pa.int64()),
+                             "logit": pa.array([None], pa.float64()), "model": pa.array([flat], pa.binary())})
+        own = np.flatnonzero(fold == fit)
+        logit = model.logit(rows, cols, before)[own]
+        return pa.table({"fit": pa.array(np.full(len(own), fit), pa.int32()), "row": pa.array(row[own], pa.int64()),
+                         "logit": pa.array(logit), "model": pa.array([None] * len(own), pa.binary())})
+
+    return run
+
+
+def fit_in_tasks(hits: DataFrame, n_categories: int, n_features: int, p: Params) -> list[Linear]:
+    """The chain's models. A category's fits, on all rows and without each fold, are tasks of their own.
+
+    Each task reads the bounded sample; the driver gets one model per category.
+    """
+    models: list[Linear] = []
+    sample = hits.withColumn("before", F.array().cast("array<double>"))
+    for k in range(n_categories):
+        more = k + 1 < n_categories
+        fits = F.array(*[F.lit(f) for f in range(-1, p.folds if more else 0)])
+        each = sample.withColumn("fit", F.explode(fits)).repartition(p.folds + 1, "fit")
+        fitted = stage(each.groupBy("fit").applyInArrow(_fit_one(k, n_features, p), _FITTED), "fitted")
+        found = fitted.where("fit < 0").select("model").first()
+        flat = np.frombuffer(bytes(found["model"])) if found else np.append(np.zeros(n_features + k), -12.0)
+        models.append(Linear(flat[:n_features], flat[n_features:-1], float(flat[-1])))
+        if more:
+            chance = F.lit(0.5) * (F.lit(1.0) + F.tanh(F.lit(0.5) * F.col("logit")))
+            held_out = fitted.where("fit >= 0").select("row", chance.alias("chance"))
+            sample = stage(sample.join(held_out, "row").withColumn("before", F.concat("before", F.array("chance"))).drop("chance"),
+                           "sample")
+    return models
+
+
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text",
           params: Params = Params()) -> DataFrame:
     """id and the probability ``p_<category>`` of each category, for every row."""

@@ -6,6 +6,47 @@ import pytest
 from attrition.llm import toxicity as T
 
 
+def fit_models(rows, cols, labels, folds, n_features, p):
+    """The chain on one machine: models of all rows, later ones on out-of-fold probabilities of earlier ones."""
+    n, models = len(labels), []
+    before = np.zeros((n, 0))
+    for k in range(labels.shape[1]):
+        y = labels[:, k]
+
+        def fitted(use):
+            use = use & ~np.isnan(y)
+            number = np.cumsum(use) - 1
+            own = use[rows]
+            return T.fit_linear(number[rows[own]], cols[own], before[use], y[use], n_features, p.ridge)
+
+        models.append(fitted(np.ones(n, bool)))
+        if k + 1 < labels.shape[1]:
+            held_out = np.zeros(n)
+            for f in range(p.folds):
+                own = folds == f
+                held_out[own] = fitted(~own).logit(rows, cols, before)[own]
+            before = np.column_stack([before, T.sigmoid(held_out)])
+    return models
+
+
+def test_fits_in_tasks_equal_one_machine(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((300, 12)) < 0.3
+    y = (x[:, :3] @ [1.0, 2, -1] + rng.normal(size=300) > 0.5).astype(float)
+    z = ((y > 0) ^ (rng.random(300) < 0.1)).astype(float)
+    labels = np.column_stack([y, z, rng.random(300) < 0.5]).astype(float)
+    labels[rng.random(labels.shape) < 0.05] = np.nan
+    fold = rng.integers(0, 5, 300)
+    data = [(i, int(fold[i]), [None if np.isnan(v) else float(v) for v in labels[i]], np.flatnonzero(x[i]).tolist())
+            for i in range(300)]
+    hits = spark.createDataFrame(data, "row bigint, fold int, y array<double>, hits array<int>").repartition(4)
+    got = T.fit_in_tasks(hits, 3, 12, T.Params())
+    for one, two in zip(got, fit_models(*np.nonzero(x), labels, fold, 12, T.Params())):
+        assert np.allclose(one.weights, two.weights, atol=1e-9) and np.allclose(one.earlier, two.earlier, atol=1e-9)
+        assert one.intercept == pytest.approx(two.intercept)
+    assert [len(m.earlier) for m in T.fit_in_tasks(hits.where("false"), 2, 12, T.Params())] == [0, 1]
+
+
 @pytest.fixture(scope="module")
 def made(spark):
     """(documents, labels): toxic texts hold a bad word or a word with a bad beginning."""
@@ -59,10 +100,10 @@ def test_later_models_see_out_of_fold_probabilities():
     first = rng.random(n) < 0.5
     rows, cols = np.flatnonzero(first), np.zeros(int(first.sum()), int)
     labels = np.column_stack([first, first]).astype(float)
-    models = T.fit_models(rows, cols, labels, np.arange(n) % 5, 1, T.Params())
+    models = fit_models(rows, cols, labels, np.arange(n) % 5, 1, T.Params())
     assert models[0].earlier.shape == (0,) and models[1].earlier.shape == (1,) and models[1].earlier[0] > 0
     labels[::7, 0] = np.nan
-    assert len(T.fit_models(rows, cols, labels, np.arange(n) % 5, 1, T.Params())) == 2
+    assert len(fit_models(rows, cols, labels, np.arange(n) % 5, 1, T.Params())) == 2
 
 
 def test_odd_texts_and_dropping(spark, chain):
@@ -81,3 +122,12 @@ def test_without_labels_or_documents(spark, docs_of, made, chain):
     empty = T.fit_chain(docs, labels.limit(0), ["rude", "toxic"])
     assert T.drop_toxic(docs, empty).count() == docs.count()
     assert T.score(docs_of([]), chain).count() == 0
+
+
+def test_repeated_documents_and_an_empty_table(spark, made):
+    docs, labels = made
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(spark.createDataFrame([(None, "x"), (3, None)], docs.schema))
+    chain = T.fit_chain(twice, labels.where("doc_id % 4 > 0"), ["rude", "toxic"])
+    assert len(chain.models) == 2 and T.drop_toxic(twice, chain).count() < twice.count()
+    none = T.fit_chain(docs.limit(0), labels, ["rude", "toxic"])
+    assert T.drop_toxic(docs, none).count() == docs.count()
