@@ -120,9 +120,20 @@ def in_half_open(c: str | Column, lo: float, hi: float) -> Column:
     return (c >= F.lit(lo)) & (c < F.lit(hi))
 
 
+def key_hash(keys: list[str] | tuple[str, ...], seed: int) -> Column:
+    """A number below 2^60 from the MD5 of ``seed:key:...``, the same in every engine, session and partitioning."""
+    parts = [F.coalesce(col(c).cast("string"), F.lit("null")) for c in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
+
+
+def hash_uniform(keys: list[str] | tuple[str, ...], seed: int) -> Column:
+    """A number of [0, 1) in steps of a millionth from the hash of the keys."""
+    return F.pmod(key_hash(keys, seed), F.lit(1_000_000)) / F.lit(1_000_000.0)
+
+
 def hash_fold(keys: list[str] | tuple[str, ...], k: int, seed: int = 46) -> Column:
-    """Fold id in ``[0, k)`` from a 64-bit hash of the key: stable across partitionings and reruns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[col(c) for c in keys]), F.lit(k)).cast("int")
+    """Fold id in [0, k) from the hash of the keys: deterministic and independent of the partitioning."""
+    return F.pmod(key_hash(keys, seed), F.lit(k)).cast("int")
 
 
 def uniform_fold(k: int, seed: int = 46) -> Column:

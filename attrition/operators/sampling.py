@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import hash_fold, uniform_fold
+from ..functions.expressions import hash_fold, hash_uniform, key_hash, uniform_fold
 from ..functions.ranking import ranked
 from .clean import split_half_open
 
@@ -23,25 +23,30 @@ def negative_fraction(n_pos: int, n_neg: int, pos_to_neg_ratio: float) -> float:
 
 
 def resample(df: DataFrame, label: str, pos_to_neg_ratio: float = 1.0, seed: int = 46,
-             positive=1, negative=0) -> DataFrame:
-    """Keep every positive and each negative with probability ``n1 / n0 / ratio``.
+             positive=1, negative=0, keys: list[str] | None = None) -> DataFrame:
+    """Keep every positive and each negative with probability ``n1 / n0 / ratio``; other labels go.
 
     ``ratio <= 0`` returns ``df`` unchanged. The class counts are two numbers
-    (one small aggregate); the sampling itself is a narrow, per-row Bernoulli
-    draw, so sizes are approximate, not exact.
+    (one small aggregate over the two classes); the sampling itself is a narrow draw per row, so
+    sizes are approximate, not exact. With ``keys`` the draw is a hash of
+    them, and the same row is kept in every run; else it is ``rand(seed)``.
     """
     if pos_to_neg_ratio <= 0:
         return df
-    counts = {r[label]: r["count"] for r in class_counts(df, label).collect()}
-    frac = negative_fraction(counts.get(positive, 0), counts.get(negative, 0), pos_to_neg_ratio)
-    return df.sampleBy(label, fractions={positive: 1.0, negative: frac}, seed=seed)
+    y = F.col(label)
+    n = df.where(y.isin(positive, negative)).agg(F.count_if(y == positive).alias("pos"),
+                                                 F.count_if(y == negative).alias("neg")).first()
+    frac = negative_fraction(n["pos"], n["neg"], pos_to_neg_ratio)
+    if keys is None:
+        return df.sampleBy(label, fractions={positive: 1.0, negative: frac}, seed=seed)
+    return df.where((y == positive) | ((y == negative) & (hash_uniform(keys, seed) < F.lit(frac))))
 
 
 def hash_split(df: DataFrame, keys: list[str], train_share: float = 0.7, seed: int = 42,
                column: str = "split") -> DataFrame:
-    """Deterministic train/test label from a 64-bit hash of the key (stable across partitionings)."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    return df.withColumn(column, F.when(u < F.lit(train_share), F.lit("train")).otherwise(F.lit("test")))
+    """Deterministic train/test label from a hash of the key (stable across partitionings)."""
+    return df.withColumn(column, F.when(hash_uniform(keys, seed) < F.lit(train_share), F.lit("train"))
+                         .otherwise(F.lit("test")))
 
 
 def random_split(df: DataFrame, train_share: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +55,7 @@ def random_split(df: DataFrame, train_share: float = 0.7, seed: int = 42) -> tup
 
 
 def with_hash_folds(df: DataFrame, keys: list[str], k: int, seed: int = 46, column: str = "fold") -> DataFrame:
-    """Fold id ``pmod(xxhash64(seed, key), k)``: the same row always lands in the same fold."""
+    """Fold id from a hash of the key: the same row always lands in the same fold."""
     return df.withColumn(column, hash_fold(keys, k, seed))
 
 
@@ -83,7 +88,7 @@ def with_stratified_folds(df: DataFrame, label: str, keys: list[str], k: int, se
     Every class contributes ``floor(n_c / k)`` or ``ceil(n_c / k)`` rows to each
     fold. Ranking is done range by range (no class is sent to a single task).
     """
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in keys]))
+    h = df.withColumn("_h", key_hash(keys, seed))
     r = ranked(h, [label], "_h", tiebreak=keys)
     return r.withColumn(column, F.pmod(F.col("row_index"), F.lit(k)).cast("int")).drop(
         "_h", "row_index", "group_size")

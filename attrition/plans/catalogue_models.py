@@ -19,42 +19,51 @@ from ..operators import select as SEL
 from ..session import ensure_checkpoint_dir
 from ..sources.sinks import load_saved, save_model
 from ..sources.staging import stage
-from ..schema import DASHBOARD_DRIVERS, DRIVER_NAMES, KEY, PREDICTION_COL, SCORE_COL
+from ..schema import DASHBOARD_DRIVERS, DRIVER_NAMES, KEY, PREDICTION_COL, SCORE_COL, default_registry
 from .catalogue_explore import _q
 from .inputs import Inputs, finish
-from .oracle_sql import PANEL_FEATURES, r4, with_ctes
+from .oracle_sql import r4, rounded, with_ctes
 from .registry import query
 
-FEATS = list(PANEL_FEATURES)
+#: The columns of the model, from the registry of column lists.
+COLUMNS = default_registry()["churn_model_v1"]
+FEATS = list(COLUMNS.num)
 DRIVERS = list(DASHBOARD_DRIVERS)
 NAMED_DRIVERS = list(DRIVER_NAMES)
 
 # ---------------------------------------------------------------- sampling
 
 
-@query("resample", "SA1 (keep positives, Bernoulli-sample negatives to 1:1)")
+def _hash_sql(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {KEY}::varchar), 1, 15))::bigint"
+
+
+@query("resample", "SA1 (keep positives, sample negatives by key hash to 1:1)",
+       sql=with_ctes(f"select {KEY}, {rounded(FEATS)}, churn from account_table, (select count(*) filter (where churn = 1) "
+                     "/ cast(count(*) filter (where churn = 0) as double) as share from account_table) s "
+                     f"where churn = 1 or {_hash_sql(46)} % 1000000 / 1000000.0::double < share", "account_table"))
 def q_resample(t: Inputs):
-    return finish(S.resample(t.stored("account_table"), "churn", 1.0, seed=46))
+    return finish(S.resample(t.stored("account_table"), "churn", 1.0, seed=46, keys=[KEY]))
 
 
-@query("hash_split", "SA2 (70/30 split by key hash)")
+@query("hash_split", "SA2 (70/30 split by key hash, every account)",
+       sql=with_ctes(f"select {KEY}, churn, case when {_hash_sql(42)} % 1000000 / 1000000.0::double < 0.7::double then 'train' "
+                     "else 'test' end as split from account_label", "account_label"))
 def q_hash_split(t: Inputs):
-    return S.hash_split(t.churn_labels, [KEY], 0.7, seed=42).groupBy("split", "churn").agg(
-        F.count(F.lit(1)).alias("count"))
+    return S.hash_split(t.churn_labels, [KEY], 0.7, seed=42)
 
 
-@query("kfold_counts", "SA3 (5 hash folds)")
+@query("kfold_counts", "SA3 (5 hash folds, every account)",
+       sql=with_ctes(f"select {KEY}, churn, cast({_hash_sql(46)} % 5 as int) as fold from account_label", "account_label"))
 def q_kfold_counts(t: Inputs):
-    return S.with_hash_folds(t.churn_labels, [KEY], 5).groupBy("fold", "churn").agg(F.count(F.lit(1)).alias("count"))
+    return S.with_hash_folds(t.churn_labels, [KEY], 5)
 
 
-@query("stratified_fold_counts", "SA4 (exactly stratified folds, ranked range by range)",
-       sql=with_ctes("select churn, fold, count(*) as count from (select churn, cast((row_number() over "
-                     "(partition by churn order by user_account_id) - 1) % 5 as int) as fold from account_label) z "
-                     "group by churn, fold", "account_label"))
+@query("stratified_fold_counts", "SA4 (exactly stratified folds, ranked range by range, every account)",
+       sql=with_ctes(f"select {KEY}, churn, cast((row_number() over (partition by churn order by {_hash_sql(46)}, {KEY}) - 1) "
+                     "% 5 as int) as fold from account_label", "account_label"))
 def q_stratified_fold_counts(t: Inputs):
-    folds = S.with_stratified_folds(t.churn_labels, "churn", [KEY], 5)
-    return folds.groupBy("churn", "fold").agg(F.count(F.lit(1)).alias("count"))
+    return S.with_stratified_folds(t.churn_labels, "churn", [KEY], 5)
 
 
 # ---------------------------------------------------------------- encoding / scaling
