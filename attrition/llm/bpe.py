@@ -298,8 +298,12 @@ def _chunks(data: bytes | None, size: int) -> Iterator[list[int]]:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-               chunk: int = 4096, capacity: int = 300_000) -> DataFrame:
-    """Encode every whole text, decode its ids, and return digests of both: id, n_tokens, ids_sha256, decoded_sha256."""
+               chunk: int = 4096, capacity: int = 300_000, release: bool = False) -> DataFrame:
+    """Encode every whole text, decode its ids, and return digests of both: id, n_tokens, ids_sha256, decoded_sha256.
+
+    ``capacity``: units the worker's memo holds. ``release``: a task gives the codec's memory back when it ends,
+    for jobs whose later stages use the same workers.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern, capacity)
         for batch in batches:
@@ -316,6 +320,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()),
                  pa.array(text_hex, pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        if release:
+            codec.cache_clear()
 
     rows = docs.select(F.col(id_col), F.col(text_col))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, "
