@@ -64,7 +64,8 @@ _SPOT = FEATS
            + " from usage_panel group by user_account_id) a join account_table t using (user_account_id)",
            "usage_panel", "account_table"))
 def q_account_spot_check(t: Inputs):
-    return finish(P.spot_check_all(t.panel, t.account_table, _SPOT))
+    panel = t.stored("panel")  # read twice
+    return finish(P.spot_check_all(panel, P.account_table(panel, t.churn_labels), _SPOT))
 
 
 @query("scored_accounts", "E10 stand-in: deterministic linear score",

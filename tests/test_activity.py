@@ -84,3 +84,31 @@ def test_last_measures_are_cut_at_the_limit(spark):
         assert r.last_100_calls_outgoing_to_abroad_duration == pytest.approx(sum(x[3] for x in last if x[4] == "R"))
         assert r.last_100_sms_outgoing_to_onnet_count == sum(x[4] == "N" and x[5] == "F" for x in last)
         assert r.last_100_gprs_usage == pytest.approx(sum(x[3] for x in last if x[3] >= 45))
+
+
+def test_lists_are_built_for_busy_accounts_only(spark, monkeypatch):
+    """Account 1 has four line items, one without a quantity; account 2 has seven: only its lists are needed at last=5."""
+    day = dt.datetime(1999, 1, 5)
+    orders = [(a * 10 + m, a, "F", day + dt.timedelta(days=31 * m), 1.0, "x") for a in (1, 2) for m in range(2)]
+    lines = [(o, 1, 1, n, q, 1.0, 0.0, 0.0, flag, "F") for o, items in
+             {10: [(1, 3.0, "N"), (2, None, "A")], 11: [(1, 50.0, "A"), (2, 2.0, None)],
+              20: [(n, float(n), "N") for n in range(1, 5)], 21: [(n, 10.0 * n, "R") for n in range(1, 4)]}.items()
+             for n, q, flag in items]
+    o = spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, "
+                                      "o_totalprice double, o_orderpriority string")
+    li = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                                      "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string")
+    cu = spark.createDataFrame([(1, 0.0), (2, 0.0)], "c_custkey bigint, c_acctbal double")
+    listed, lists = [], fixtures.latest_lines
+
+    def latest(some, *rest):
+        listed.extend(r[0] for r in some.select("user_account_id").distinct().collect())
+        return lists(some, *rest)
+
+    monkeypatch.setattr(fixtures, "latest_lines", latest)
+    rows = fixtures.usage_panel(o, li, cu, last=5).orderBy("user_account_id", "year", "month").collect()
+    assert listed == [2]
+    got = [(r.last_100_calls_outgoing_duration, r.last_100_calls_outgoing_to_onnet_duration,
+            r.last_100_calls_outgoing_to_offnet_duration, r.last_100_sms_outgoing_count, r.last_100_gprs_usage) for r in rows]
+    assert got == [(None, 3.0, None, 2.0, 0.0), (None, 3.0, None, 4.0, 50.0),
+                   (10.0, 10.0, 0.0, 4.0, 0.0), (67.0, 7.0, 0.0, 5.0, 0.0)]
