@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ class Tokenizer:
     def __init__(self, encode: Callable[[str], list[int]], spelled: list[bytes]):
         self.encode, self.spelled = encode, spelled
         self.lengths = np.array([len(b) for b in spelled], np.int64)
-        self.names = [str(i) for i in range(len(spelled))]
+        self.names = np.array([str(i) for i in range(len(spelled))], "S")
 
 
 @cache
@@ -143,25 +144,28 @@ def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
 class Aligned:
     """One text's ids, the token counts up to each group's end, and its links (A id << 32 | B id)."""
 
-    def __init__(self, a: list[int], b: list[int], upto_a: np.ndarray, upto_b: np.ndarray):
+    def __init__(self, a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray):
         self.a, self.b, self.upto_a, self.upto_b = a, b, upto_a, upto_b
-        last_a, last_b = np.array(a, np.uint64)[upto_a - 1], np.array(b, np.uint64)[upto_b - 1]
-        self.links = last_a << np.uint64(32) | last_b
+        self.links = a[upto_a - 1].astype(np.uint64) << np.uint64(32) | b[upto_b - 1].astype(np.uint64)
 
-    def groups(self, names_a: list[str], names_b: list[str]) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the decimal ids of each group."""
-        a = list(map(names_a.__getitem__, self.a))
-        b = list(map(names_b.__getitem__, self.b))
-        out, i, j = [], 0, 0
-        for k, m in zip(self.upto_a.tolist(), self.upto_b.tolist()):
-            left = a[i] if k == i + 1 else ",".join(a[i:k])
-            right = b[j] if m == j + 1 else ",".join(b[j:m])
-            out.append(f"{left}|{right}")
-            i, j = k, m
-        return ";".join(out)
+    def groups(self, names_a: Sequence[str] | np.ndarray, names_b: Sequence[str] | np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the decimal ids of each group, put in place as bytes of equal width."""
+        if not len(self.a):
+            return ""
+        a, b = (n if isinstance(n, np.ndarray) else np.array(n, "S") for n in (names_a, names_b))
+        wide = max(a.itemsize, b.itemsize)
+        # an id goes behind its side's ids before it and the other side's ids of the groups before it (for B: and of its own)
+        size_a, size_b = np.diff(self.upto_a, prepend=0), np.diff(self.upto_b, prepend=0)
+        to_a = np.arange(len(self.a)) + np.repeat(self.upto_b - size_b, size_a)
+        to_b = np.arange(len(self.b)) + np.repeat(self.upto_a, size_b)
+        name, mark = np.empty(len(self.a) + len(self.b), f"S{wide}"), np.full(len(self.a) + len(self.b), b",", "S1")
+        name[to_a], name[to_b] = a[self.a], b[self.b]
+        mark[to_a[self.upto_a - 1]], mark[to_b[self.upto_b - 1]] = b"|", b";"
+        rows = np.column_stack([name.view(np.uint8).reshape(-1, wide), mark.view(np.uint8)])
+        return rows.tobytes().translate(None, b"\0")[:-1].decode("ascii")
 
 
-NOTHING = Aligned([], [], np.zeros(0, np.int64), np.zeros(0, np.int64))
+NOTHING = Aligned(*[np.zeros(0, np.int64)] * 4)
 
 
 def align_text(text: str | None, a: Tokenizer, b: Tokenizer) -> Aligned:
@@ -172,6 +176,7 @@ def align_text(text: str | None, a: Tokenizer, b: Tokenizer) -> Aligned:
     for t, ids in ((a, ids_a), (b, ids_b)):
         if b"".join(map(t.spelled.__getitem__, ids)) != whole:
             return NOTHING
+    ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
     return Aligned(ids_a, ids_b, *group_ends(np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b])))
 
 
@@ -195,7 +200,8 @@ _CHUNK = ("chunk bigint, ids array<bigint>, n_a binary, n_b binary, n_links bina
 def _aligned_chunks(a_path: str, pattern: str, b_path: str, chunk_tokens: int):
     def row(number: int, ids: list, found: list[tuple]) -> pa.RecordBatch:
         links = np.concatenate([f[2] for f in found])
-        pairs, slots, counts = np.unique(links, return_inverse=True, return_counts=True)
+        slots, pairs = pd.factorize(links)
+        counts = np.bincount(slots, minlength=len(pairs))
         packed = slots.astype("<u4").tobytes()
         return pa.RecordBatch.from_pydict({
             "chunk": pa.array([number], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),

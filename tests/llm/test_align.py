@@ -111,3 +111,13 @@ def test_registered_query(spark, small_docs):
     rows = [(r.doc_id, r.text) for r in small_docs.collect()]
     got = queries.QUERIES["op13_tokenizer_alignment"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_group_text_is_put_together_from_arrays():
+    """No Python step per group: the work of a text is arrays, with ids of different width side by side."""
+    one = L.Aligned(np.array([7, 12345, 3]), np.array([10, 9, 200, 1]), np.array([2, 3]), np.array([1, 4]))
+    names = L.Tokenizer(None, [b"x"] * 12346).names
+    assert isinstance(names, np.ndarray)
+    assert one.groups(names, names) == "7,12345|10;3|9,200,1"
+    assert one.links.tolist() == [12345 << 32 | 10, 3 << 32 | 1]
+    assert L.NOTHING.groups(names, names) == "" and not len(L.NOTHING.links)
