@@ -14,7 +14,7 @@ Custom models take SQL feature expressions (column names or e.g.
 ``element_at(embedding, 3)``) and add ``score`` (probability of class 1 for
 binary labels) and ``prediction``. They are Spark ML estimators and models:
 they can be stages of a ``Pipeline``, and be saved and loaded (``persistence``).
-The first three also have
+The first three and ``trees.DeepForest`` also have
 ``fit_folds(df, fold) -> FoldModels``: all fits of a cross-validation and the
 final one from the same passes over the rows.
 """
@@ -40,6 +40,7 @@ from ..functions.expressions import dlit
 from ..sources.staging import stage
 from .moments import CoMoments, by_class, co_moments, merged
 from .persistence import Persisted
+from .trees import DeepForest
 
 FEATURES = "features"
 
@@ -56,13 +57,21 @@ def _dot(exprs: list[str], w, b: float = 0.0) -> str:
 # ---------------------------------------------------------------- Spark ML natives
 
 
+#: Trees up to this depth, whose nodes have a bound, are Spark ML's; deeper ones are ``trees.DeepForest``.
+SPARK_TREE_DEPTH = 10
+
+
 def extra_trees(num_trees: int = 20, max_depth: int = 30, seed: int = 46, label: str = "label"):
     """Randomised trees without bootstrap on random feature subsets (split thresholds are not random)."""
+    if max_depth > SPARK_TREE_DEPTH:
+        return DeepForest(num_trees, max_depth, bootstrap=False, seed=seed, label=label, features_col=FEATURES)
     return RandomForestClassifier(numTrees=num_trees, bootstrap=False, featureSubsetStrategy="sqrt",
                                   maxDepth=max_depth, seed=seed, labelCol=label, featuresCol=FEATURES)
 
 
 def random_forest(num_trees: int = 20, max_depth: int = 30, seed: int = 46, label: str = "label"):
+    if max_depth > SPARK_TREE_DEPTH:
+        return DeepForest(num_trees, max_depth, seed=seed, label=label, features_col=FEATURES)
     return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, labelCol=label,
                                   featuresCol=FEATURES)
 
@@ -74,6 +83,8 @@ def gradient_boosting(max_iter: int = 100, max_depth: int = 3, step: float = 0.1
 
 
 def decision_tree(max_depth: int = 30, seed: int = 46, label: str = "label"):
+    if max_depth > SPARK_TREE_DEPTH:
+        return DeepForest(1, max_depth, bootstrap=False, tried="all", seed=seed, label=label, features_col=FEATURES)
     return DecisionTreeClassifier(maxDepth=max_depth, seed=seed, labelCol=label, featuresCol=FEATURES)
 
 

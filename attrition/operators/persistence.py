@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Numbers of an array in one row of the data part.
 _BLOCK = 100_000
@@ -48,6 +48,8 @@ class _Writer(MLWriter):
             write_arrays(self.sparkSession, f"{path}/data", arrays)
         for name, part in self.instance.parts().items():
             part.write().save(f"{path}/{name}")
+        for name, table in self.instance.tables().items():
+            table.write.parquet(f"{path}/{name}")
 
 
 class _Reader(MLReader):
@@ -61,16 +63,18 @@ class _Reader(MLReader):
         arrays = read_arrays(self.sparkSession, f"{path}/data") if self.cls.has_arrays else {}
         parts = {name: DefaultParamsReader.loadParamsInstance(f"{path}/{name}", self.sparkSession)
                  for name in self.cls.part_names}
+        parts |= {name: self.sparkSession.read.parquet(f"{path}/{name}") for name in self.cls.table_names}
         out = self.cls.restored(settings, arrays, parts)
         out._resetUid(metadata["uid"])
         return out
 
 
 class Persisted(MLWritable, MLReadable):
-    """Mixin: ``settings`` (JSON values), ``arrays`` (fitted numbers) and ``parts`` (Spark ML objects inside)."""
+    """Mixin: ``settings`` (JSON values), ``arrays`` (fitted numbers), ``parts`` (Spark ML objects inside), ``tables``."""
 
     has_arrays = False
     part_names: tuple[str, ...] = ()
+    table_names: tuple[str, ...] = ()
 
     def settings(self) -> dict:
         return {}
@@ -81,6 +85,9 @@ class Persisted(MLWritable, MLReadable):
     def parts(self) -> dict[str, MLWritable]:
         return {}
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {}
+
     @classmethod
     def restored(cls, settings: dict, arrays: dict[str, np.ndarray], parts: dict):
         return cls(**settings, **arrays, **parts)
