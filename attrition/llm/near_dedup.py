@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +90,8 @@ def _count_table(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(p.buckets, np.uint32)
         for batch in batches:
-            held = []
             for found, _ in _bags(batch.column(0), p):
-                held.append(found & _U(p.buckets - 1))
-                if len(held) == _SLICE:
-                    table += np.bincount(np.concatenate(held).astype(np.int64), minlength=p.buckets).astype(np.uint32)
-                    held = []
-            if held:
-                table += np.bincount(np.concatenate(held).astype(np.int64), minlength=p.buckets).astype(np.uint32)
+                np.add.at(table, (found & _U(p.buckets - 1)).astype(np.int64), np.uint32(1))  # no other table beside it
         for k, part in enumerate(np.split(table, _PARTS)):
             kind = np.min_scalar_type(int(part.max(initial=0)))
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()),
@@ -232,10 +227,10 @@ def _bag_rows(p: Params, idf, bits):
         for batch in batches:
             at = batch.column(0).to_numpy()
             texts = batch.column(1).filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            bags = [(fingerprint(f, c), f.view(np.int64), weights(f, c, table).astype(np.float32))
-                    for f, c in _bags(texts, p) if len(f)]
-            for at in range(0, len(bags), _SLICE):
-                node, found, weight = zip(*bags[at:at + _SLICE])
+            bags = ((fingerprint(f, c), f.view(np.int64), weights(f, c, table).astype(np.float32))
+                    for f, c in _bags(texts, p) if len(f))
+            while some := list(islice(bags, _SLICE)):
+                node, found, weight = zip(*some)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(found, pa.list_(pa.int64())),
                                                   pa.array(weight, pa.list_(pa.float32()))], ["node", "found", "weight"])
 
