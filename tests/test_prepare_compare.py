@@ -41,3 +41,30 @@ def test_compare_models_table(spark):
                                       "nb": lambda: M.GaussianNaiveBayes(["x"])}, test=test).collect()
     assert len(table) == 6 and {r["model"] for r in table} == {"lr", "nb"}
     assert all(r["score_auc"] > 0.8 and r["test_hard_auc"] > 0.75 and r["seconds"] > 0 for r in table)
+
+
+def test_compare_models_works_on_several_models_at_once(spark):
+    """Each stand-in waits for the other in its first fit; one model after the other would never get on."""
+    import threading
+
+    from pyspark.ml.classification import LogisticRegression
+
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 2 + i % 3)) for i in range(60)], "id long, label double, x double")
+    data = with_hash_folds(FE.assemble_features(df, ["x"]), ["id"], 2)
+    both = threading.Barrier(2, timeout=60)
+    seen = set()
+
+    class Waits(LogisticRegression):
+        def __init__(self, name):
+            super().__init__(maxIter=2)
+            self.name = name
+
+        def _fit(self, rows):
+            if self.name not in seen:
+                seen.add(self.name)
+                both.wait()
+            return super()._fit(rows)
+
+    table = EV.compare_models(data, {n: lambda n=n: Waits(n) for n in ("a", "b")}).collect()
+    assert [(r["model"], r["fold"]) for r in table if r["fold"] == 0] == [("a", 0), ("b", 0)]
+    assert [r["model"] for r in table] == ["a", "a", "b", "b"]
