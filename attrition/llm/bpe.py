@@ -21,7 +21,11 @@ string; repeated rows give repeated results; other columns are never read.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import hashlib
+import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -46,6 +50,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+_BOUNDARY = struct.Struct("3i")
+
+
 class MergeTransducer:
     """Lazily determinised transducer from bytes to BPE token ids."""
 
@@ -62,11 +69,11 @@ class MergeTransducer:
                 if node == len(self.token_at):
                     self.token_at.append(_NO_TOKEN)
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        start = ((-1, _NO_TOKEN, 0),)
+        start = _BOUNDARY.pack(-1, _NO_TOKEN, 0)
         self.states = [start]
         self.number = {start: 0}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -84,19 +91,21 @@ class MergeTransducer:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether (left, right) is the encoding of its own bytes."""
-        known = self.pairs.get((left, right))
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= self.max_arcs:
                 self.pairs.clear()
             known = self.merge(self.spelling[left] + self.spelling[right]) == [left, right]
-            self.pairs[left, right] = known
+            self.pairs[key] = known
         return known
 
-    # A state is a tuple of boundaries (parent boundary, last token, tree node), oldest first; the
+    # A state is a row of boundaries (parent boundary, last token, tree node), oldest first, kept as packed numbers; the
     # node of a boundary is where the bytes behind it lead in the prefix tree, or _DEAD. Boundary 0 is
     # the one up to which all tokens have been emitted; the last boundary is at the current byte.
 
-    def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+    def _step(self, packed: bytes, byte: int) -> tuple[bytes, tuple[int, ...]]:
+        state = list(_BOUNDARY.iter_unpack(packed))
         nodes, new = [], None
         for k, (_, last, node) in enumerate(state):
             node = self.child.get(node << 8 | byte, _DEAD) if node != _DEAD else _DEAD
@@ -119,14 +128,14 @@ class MergeTransducer:
         while entries[root][2] == _DEAD and children[root] == 1:
             root = next(k for k in range(root + 1, len(entries)) if keep[k] and entries[k][0] == root)
             emitted.append(entries[root][1])
-        place, out = {root: 0}, []
+        place, out = {root: 0}, array("i")
         for k in range(root, len(entries)):
             p, t, n = entries[k]
             if k == root or keep[k] and p in place:
-                place[k] = len(out)
+                place[k] = len(out) // 3
                 # the token before a dead boundary can no longer decide anything
-                out.append((place[p] if k != root else -1, t if n != _DEAD or k != root else _NO_TOKEN, n))
-        return tuple(out), tuple(emitted)
+                out.extend((place[p] if k != root else -1, t if n != _DEAD or k != root else _NO_TOKEN, n))
+        return out.tobytes(), tuple(emitted)
 
     def _arc(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         state, emitted = self._step(self.states[number], byte)
@@ -138,7 +147,7 @@ class MergeTransducer:
         return arc
 
     def _end(self, number: int) -> tuple[int, ...]:
-        state, path = self.states[number], []
+        state, path = list(_BOUNDARY.iter_unpack(self.states[number])), []
         k = len(state) - 1
         while k > 0:
             path.append(state[k][1])
@@ -245,8 +254,8 @@ class StreamDecoder:
 class Codec:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, pattern: str, capacity: int = 300_000):
-        self.transducer = MergeTransducer(load_ranks(path))
+    def __init__(self, path: str, pattern: str, capacity: int = 300_000, max_arcs: int = MAX_ARCS):
+        self.transducer = MergeTransducer(load_ranks(path), max_arcs)
         self.spelling = self.transducer.spelling
         self.whole = StreamDecoder.whole_tokens(self.spelling)
         self.encode = PieceEncoder(self._piece, pattern, capacity)
@@ -262,9 +271,18 @@ class Codec:
 
 
 @cache
-def codec(path: str, pattern: str, capacity: int = 300_000) -> Codec:
+def codec(path: str, pattern: str, capacity: int = 300_000, max_arcs: int = MAX_ARCS) -> Codec:
     """The worker process's codec; built once, its states and memo (of ``capacity`` units) carry over to later tasks."""
-    return Codec(path, pattern, capacity)
+    return Codec(path, pattern, capacity, max_arcs)
+
+
+def give_back() -> None:
+    """Return memory that this process has freed, but still holds, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -298,14 +316,16 @@ def _chunks(data: bytes | None, size: int) -> Iterator[list[int]]:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-               chunk: int = 4096, capacity: int = 300_000, release: bool = False) -> DataFrame:
+               chunk: int = 4096, capacity: int = 300_000, release: bool = False, max_arcs: int = MAX_ARCS) -> DataFrame:
     """Encode every whole text, decode its ids, and return digests of both: id, n_tokens, ids_sha256, decoded_sha256.
 
-    ``capacity``: units the worker's memo holds. ``release``: a task gives the codec's memory back when it ends,
-    for jobs whose later stages use the same workers.
+    ``capacity``: units the worker's memo holds, ``max_arcs``: arcs its transducer remembers. ``release``: a task
+    first returns what earlier stages left in the worker, and gives the codec's memory back when it ends.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern, capacity)
+        if release:
+            give_back()
+        c = codec(path, pattern, capacity, max_arcs)
         for batch in batches:
             n, ids_hex, text_hex = [], [], []
             for text in batch.column(1):
@@ -322,6 +342,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
         if release:
             codec.cache_clear()
+            c = None
+            give_back()
 
     rows = docs.select(F.col(id_col), F.col(text_col))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, "

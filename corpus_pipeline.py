@@ -39,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
-    # a small memo, not kept: the workers of all stages are the same ones
-    return bpe.round_trip(docs, vocabularies.path(queries.RANK_FILE), vocabularies.PATTERN, capacity=100_000, release=True)
+    # a small memo and few arcs, not kept: the workers of all stages are the same ones
+    return bpe.round_trip(docs, vocabularies.path(queries.RANK_FILE), vocabularies.PATTERN, capacity=50_000, release=True,
+                          max_arcs=300_000)
 
 
 STAGES = [

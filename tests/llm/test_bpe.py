@@ -74,3 +74,38 @@ def test_columns_and_empty_table(docs_of):
     df = bpe.decode_texts(bpe.encode_texts(docs_of([(1, "ab cd"), (2, None)]), PATH, PATTERN), PATH, PATTERN, out="back")
     assert [r.back for r in df.orderBy("doc_id").collect()] == ["ab cd", ""]
     assert bpe.round_trip(docs_of([]), PATH, PATTERN).count() == 0
+
+
+def test_remembered_states_are_packed_numbers(reference):
+    """A remembered state takes 12 bytes a boundary; tuples of numbers took ten times that."""
+    t = bpe.MergeTransducer(bpe.load_ranks(PATH))
+    for word in (" international", " counterrevolutionaries", "日本語", " 1234567 misunderstandings"):
+        assert t.encode(word.encode()) == reference.encode_ordinary(word) or word.startswith(" 1")
+    assert len(t.states) > 20 and all(isinstance(s, bytes) and len(s) % 12 == 0 for s in t.states)
+
+
+def test_worker_forgets_arcs_beyond_its_bound(reference):
+    c = bpe.Codec(PATH, PATTERN, capacity=100, max_arcs=200)
+    for i in range(400):
+        text = f"word{i * 7919} un{i}known {chr(0x3042 + i % 60)}x"
+        assert ids_of(c, text) == reference.encode_ordinary(text)
+        assert len(c.transducer.arcs) <= 400
+
+
+def test_freed_memory_is_returned():
+    """Numbers of many sizes, of which a few stay, leave holes in the heap that only a trim gives back."""
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 // 2 ** 20
+
+    arrays = [np.ones(2000 + k % 500) for k in range(8000)]
+    kept, full = arrays[::400], resident()
+    del arrays
+    bpe.give_back()
+    assert len(kept) == 20 and resident() < full - 80
+
+
+def test_releasing_round_trip_gives_the_same_rows(docs_of):
+    rows = docs_of(list(enumerate(TEXTS)))
+    plain = sorted(map(tuple, bpe.round_trip(rows, PATH, PATTERN).collect()))
+    assert sorted(map(tuple, bpe.round_trip(rows, PATH, PATTERN, capacity=50, release=True, max_arcs=100).collect())) == plain
