@@ -59,6 +59,33 @@ def test_longest_gap(spark):
         assert r.gap == max(runs, default=0)
 
 
+def test_longest_gap_reads_up_to_two_active_days_from_their_places(spark):
+    """All months with up to two active days against a loop over the days, with the binary text out of reach."""
+    text = "bin("
+    sql = A.longest_gap_sql("mask", "days")
+    assert sql.count(text) == 1
+    sql = sql.replace(text, "raise_error(")
+    rows = [(sum(1 << d for d in set(days)), n) for n in (28, 31) for days in itertools.product(range(n), repeat=2)]
+    rows += [(0, 30), (None, 29)]
+    df = spark.createDataFrame(rows, "mask int, days int")
+    for r in df.select("mask", "days", F.expr(sql).alias("gap")).collect():
+        quiet = "".join("1" if (r.mask or 0) >> d & 1 else "0" for d in range(r.days)).split("1")
+        assert r.gap == max(map(len, quiet))
+
+
+def test_kinds_of_line_items_are_found_once(spark):
+    """Every kind is compared once a line item, not once a measure."""
+    df = spark.createDataFrame([(1, 50.0, 2.0, 0.5, "N", "F"), (1, None, 3.0, 0.1, None, "O"), (2, 1.0, 4.0, None, "R", None)],
+                               "l_orderkey bigint, l_quantity double, l_extendedprice double, l_tax double, "
+                               "l_returnflag string, l_linestatus string")
+    got = fixtures.order_line_summary(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("= N)") == 1 and plan.count("= F)") == 1 and plan.count(">= 45") == 1
+    a, b = got.orderBy("l_orderkey").collect()
+    assert (a.n_calls, a.n_on, a.n_sms, a.n_sms_on, a.sms_spend, a.n_in, a.n_data, a.data_usage, a.missing) == (2, 1, 1, 1, 1.0, 1, 1, 50.0, 1)
+    assert (b.n_calls, b.n_ab, b.spend_ab, b.n_sms, b.sms_spend, b.n_in, b.n_data, b.missing) == (1, 1, 4.0, 0, None, 0, 0, 0)
+
+
 def test_panel_has_all_features_and_matches_sql(spark, duck):
     t = Inputs(spark, SF)
     assert t.panel.columns == ["user_account_id", "year", "month", *FULL_FEATURES] and len(FULL_FEATURES) == 62
