@@ -5,11 +5,12 @@
    is small enough to broadcast at any corpus size.
 2. Each distinct document gets ``bands * rows`` samples by consistent weighted
    sampling: a shingle that occurs n times is n occurrences of the weight of
-   its inverse document frequency, and a sample is the occurrence that comes
-   first when each waits an exponential time at the rate of its weight, fixed
-   by the hashes of the shingle, the occurrence's number and the sample.  All
-   samples are drawn over all occurrences, independently, so two documents
-   agree in a sample with a probability of their weighted Jaccard similarity.
+   its inverse document frequency, but of no more than is usual in the
+   document, and a sample is the occurrence that comes first when each waits
+   an exponential time at the rate of its weight, fixed by the hashes of the
+   shingle, the occurrence's number and the sample.  All samples are drawn
+   over all occurrences, independently, so two documents agree in a sample
+   with a probability of at least their weighted Jaccard similarity.
 3. Documents that agree in all samples of a band share a bucket.  Those that
    hold too little in common with all other candidates together are out of reach
    of the threshold and leave.  Within the buckets, pivots are compared with
@@ -70,6 +71,8 @@ class Params:
 _SLICE = 256
 #: Parts in which tables of fixed size travel.
 _PARTS = 64
+#: Cells in which the weight that two bags can have in common is bounded.
+_CELLS = 32
 #: Bits of the table that tells candidates' texts from others.
 _BITS = 1 << 24
 
@@ -129,8 +132,27 @@ def idf_table(texts: DataFrame, p: Params) -> np.ndarray:
     return idf
 
 
+#: Weights of occurrences are multiples of one over this, so that sums of them are exact in any order.
+_STEPS = 4096
+
+
 def weights(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts * idf[(found & _U(len(idf) - 1)).astype(np.int64)].astype(np.float64)
+    """TF-IDF weights in which no shingle counts for rarer than is usual in its document.
+
+    The unit is the interquartile mean of the inverse document frequencies of
+    the document's distinct shingles, so that a line does not become usual by
+    being repeated.  A shingle that is more common than usual weighs less than
+    one, others weigh one.  In a large group of copies the frequencies of the
+    shared shingles grow with the group; without this bound the few changed
+    words would outweigh them, and the group would fall apart.
+    """
+    rare = idf[(found & _U(len(idf) - 1)).astype(np.int64)].astype(np.float64)
+    n = len(rare)
+    if not n:
+        return rare
+    inner = np.diff(np.clip(np.arange(n + 1), n * 0.25, n * 0.75))  # the middle half, with parts of a shingle
+    usual = (inner * np.sort(rare)).sum() / (n * 0.5)
+    return counts * (np.rint(np.minimum(rare / usual, 1.0) * _STEPS) / _STEPS)
 
 
 # --- consistent weighted sampling
@@ -152,11 +174,12 @@ _DRAWS = 1 << 15
 def signature(found: np.ndarray, weight: np.ndarray, samples: int, counts: np.ndarray | None = None) -> np.ndarray:
     """The samples of one document; ``counts`` (1 if not given) are the shingles' occurrences.
 
-    A shingle weighs the same for each occurrence in every document, so the
-    weighted Jaccard similarity is that of sets of occurrences, numbered per
-    shingle.  In each sample every occurrence waits an exponential time at the
-    rate of its weight, and the first one is the sample: two documents agree
-    with a probability of exactly their similarity, and samples are independent.
+    A shingle weighs the same for each of its occurrences in a document, which
+    are numbered per shingle.  In each sample every occurrence waits an
+    exponential time at the rate of its weight, and the first one is the sample:
+    two documents agree with a probability of their weighted Jaccard similarity
+    if they give what they share the same weights, of more if they do not, and
+    samples are independent.
     """
     if not len(found):
         return np.zeros(samples, _U)
@@ -285,23 +308,29 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within_reach(bags: DataFrame, p: Params) -> DataFrame:
-    """(node, total, common) of the nodes that can have a link at all.
+    """(node, total, common, cells) of the nodes that can have a link at all.
 
     ``common`` is the weight of the shingles that some other candidate holds as
-    well.  A similarity is at most the smaller ``common`` over the larger
-    ``total``, so a node with less than the threshold in common has no link.
+    well, ``cells`` what of it falls into each of ``_CELLS`` hash cells.  A
+    similarity is at most the smaller ``common`` over the larger ``total``, so a
+    node with less than the threshold in common has no link.
     """
     each = (bags.select(F.xxhash64("node").alias("n64"), F.explode(F.arrays_zip("found", "weight")).alias("x"))
             .select("n64", "x.found", "x.weight"))
     several = each.groupBy("found").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("found")
-    common = each.join(several, "found", "left_semi").groupBy("n64").agg(F.sum("weight").alias("common"))
+    cell = F.shiftrightunsigned("found", 40) % _CELLS
+    sums = [F.sum(F.when(F.col("cell") == k, F.col("weight")).otherwise(0.0)).alias(f"c{k}") for k in range(_CELLS)]
+    common = (each.join(several, "found", "left_semi").select("n64", "weight", cell.alias("cell")).groupBy("n64").agg(*sums)
+              .select("n64", F.array(*[f"c{k}" for k in range(_CELLS)]).alias("cells")))
+    added = F.aggregate("cells", F.lit(0.0), lambda s, x: s + x)
+    common = common.select("n64", added.alias("common"), F.col("cells").cast("array<float>").alias("cells"))
     total = F.aggregate("weight", F.lit(0.0), lambda s, x: s + x)
     return (bags.select("node", F.xxhash64("node").alias("n64"), total.alias("total")).join(common, "n64").drop("n64")
             .where(F.col("common") >= F.col("total") * (p.threshold - _SLACK)))
 
 
 def _pivots(members: DataFrame, splits: int) -> DataFrame:
-    """(key, pivots) of the buckets that hold several components; members have key, keys, shade, node, label, total, common.
+    """(key, pivots) of the buckets that hold several components; members have key, keys, shade, node, label, total, common, cells.
 
     A bucket is split ``splits`` times by hash; each part offers a node of its
     smallest and one of its largest label, so that a few strangers in a large
@@ -309,13 +338,13 @@ def _pivots(members: DataFrame, splits: int) -> DataFrame:
     and one pivot will do, the same for bands of one shade.  All are partial
     aggregates: a large bucket meets in no task.
     """
-    pivot = ("node", "label", "total", "common", "keys")
+    pivot = ("node", "label", "total", "common", "cells", "keys")
     if not splits:
         one = F.min(F.struct(F.xxhash64("node", "shade").alias("order"), *pivot))
         return (members.groupBy("key").agg(one.alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
                 .select("key", F.array(F.struct(*[f"p.{c}" for c in pivot])).alias("pivots")))
     order = F.xxhash64("key", "node")
-    entry = F.struct("label", order.alias("order"), "node", "total", "common", "keys")
+    entry = F.struct("label", order.alias("order"), "node", "total", "common", "cells", "keys")
     parts = members.groupBy("key", F.pmod(order, F.lit(splits)).alias("part")).agg(
         F.min(entry).alias("lo"), F.max(entry).alias("hi"))
     both = [F.collect_list(F.struct(*[f"{x}.{c}" for c in pivot])).alias(f"{x}s") for x in ("lo", "hi")]
@@ -337,9 +366,10 @@ def find_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     bits.destroy()
     members = stage(placed.drop("id").join(_within_reach(bags, p), "node").join(
         signed.where("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys")), "node"), "members")
-    # an intersection is at most the smaller common weight, and t / (1 + t) of both totals in a link
-    reach = ("x.label <> label AND least(x.common, common) >= "
-             f"(x.total + total) * {p.threshold / (1 + p.threshold) - _SLACK}D")
+    # an intersection is at most the smaller common weight, in each cell as well, and t / (1 + t) of both totals in a link
+    enough = f"(x.total + total) * {p.threshold / (1 + p.threshold) - _SLACK}D"
+    reach = f"x.label <> label AND least(x.common, common) >= {enough}"
+    cells = f"aggregate(zip_with(x.cells, cells, (i, j) -> least(i, j)), 0D, (s, i) -> s + i) >= {enough}"
     # after the first round a pair is the business of the first band in which it agrees, where it comes up
     # as long as that bucket is open
     first = "array_position(zip_with(keys, x.keys, (i, j) -> i = j), true) = array_position(keys, key)"
@@ -353,7 +383,7 @@ def find_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
         if pivots.isEmpty():
             return roots
         open_ = labelled.join(pivots, "key")
-        close = F.expr(f"filter(pivots, x -> {reach}{f' AND {first}' if splits else ''})")
+        close = F.expr(f"filter(pivots, x -> {reach}{f' AND {first}' if splits else ''} AND {cells})")
         pairs = (open_.select("node", F.explode(close).alias("pivot"))
                  .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
         if splits <= 8:  # later rounds are about ever fewer nodes

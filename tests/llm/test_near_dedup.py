@@ -109,6 +109,61 @@ def test_classes_against_all_pairs(docs_of):
     assert {r.doc_id for r in found if r.kept} == {r.class_id for r in found}
 
 
+def test_changed_words_do_not_split_a_large_group_of_copies(docs_of):
+    rnd = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = rnd.choices(vocabulary, k=80)
+    rows = [(k, " ".join(base[:2 * k] + ["new"] + base[2 * k + 1:])) for k in range(2, 38)]
+    rows += [(-1, " ".join(base)), *((100 + k, " ".join(rnd.choices(vocabulary, k=80))) for k in range(40))]
+    found = {r.doc_id: r for r in N.classes(docs_of(rows), params=N.Params(buckets=1 << 16)).collect()}
+    assert {found[k].class_id for k in range(2, 38)} == {-1} and found[-1].class_size == 37
+    assert all(found[100 + k].class_size == 1 for k in range(40))
+
+
+def test_weights_follow_the_documents_usual_frequency():
+    idf = np.zeros(16, np.float32)
+    idf[:8], idf[8:] = 10, 4
+    rare, common, least = np.arange(8), np.arange(8, 16), round(0.4 * 4096) / 4096
+    few_common = np.concatenate([rare, common[:2]]).astype(np.uint64)
+    assert (N.weights(few_common, np.array([1] * 8 + [50, 1]), idf) == [1] * 8 + [50 * least, least]).all()
+    few_changed = np.concatenate([rare[:2], common]).astype(np.uint64)
+    assert (N.weights(few_changed, np.ones(10, int), idf) == 1).all()  # not ten to four
+    even = N.weights(np.arange(16, dtype=np.uint64), np.ones(16, int), idf)
+    assert (even[:8] == 1).all() and (even[8:] == round(4 / 7 * 4096) / 4096).all()
+    assert not len(N.weights(few_changed[:0], np.ones(0, int), idf))
+
+
+def test_a_common_line_repeated_in_otherwise_different_documents_links_none(docs_of):
+    line = " ".join(f"line{j}" for j in range(11))
+    rows = [(k, " ".join([line] * 12 + [f"own{k}x{j}" for j in range(60)])) for k in range(60)]
+    found = N.classes(docs_of(rows), params=N.Params(buckets=1 << 16)).collect()
+    assert all(r.class_size == 1 for r in found)
+
+
+def test_few_pairs_of_a_group_of_copies_are_compared(docs_of, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(60):  # of a text that is not there; no two are similar enough
+        text = list(base)
+        for j in rnd.sample(range(150), 5):
+            text[j] = f"new{k}x{j}"
+        rows.append((k, " ".join(text)))
+    p, compared, real = N.Params(buckets=1 << 16), [], N.stage
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "compared":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "stage", counted)
+    docs = docs_of(rows)
+    found = N.classes(docs, params=p).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in found) == brute_classes(rows, p, N.idf_table(docs.select("text"), p))
+    assert sum(compared) < 300  # of 1,770
+
+
 def test_drop_keeps_columns_and_one_of_each(spark):
     text = "the quick brown fox jumps over the lazy dog again and again"
     df = spark.createDataFrame([(3, text, 1), (2, text.upper(), 2), (1, "something else of enough words here", 3),
