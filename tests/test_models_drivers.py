@@ -156,6 +156,45 @@ def test_nearest_neighbours_against_brute_force(spark):
     assert len(M.NearestNeighbours(["a"], k=3, max_rows=50).fit(df).points) == 50
 
 
+def test_nearest_neighbours_use_every_training_row(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    from attrition.operators import models as M
+    from attrition.operators import neighbours as NB
+    from attrition.sources.sinks import load_saved, save_model
+
+    for name, value in (("_ROWS", 16), ("_TILE", 5), ("_BLOCKS", 3)):
+        monkeypatch.setattr(NB, name, value)
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 5, size=(300, 3)).astype(float), rng.integers(0, 2, 300)
+    rows = [(int(i) % 290, *map(float, x[i]), int(y[i])) for i in rng.permutation(300)]
+    rows += [(None, 1.0, 1.0, 1.0, 1), (500, None, 1.0, 1.0, 1), (501, float("nan"), 1.0, 1.0, 0), (502, 2.0, 2.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, label int").repartition(4)
+    make = M.NearestNeighbours(["a", "b", "c"], k=7)
+    small = make.fit(df)
+    assert isinstance(small, M.NearestNeighboursModel) and len(small.points) == 301
+    monkeypatch.setattr(M.NearestNeighbours, "LOCAL_ROWS", 100)
+    large = make.fit(df)
+    assert isinstance(large, M.StoredNeighboursModel)
+    save_model(large, str(tmp_path / "knn"))
+    queries = df.where("id < 280 OR id >= 500")  # ids that are there twice may be met in any order
+    x, y, ids = (np.array([r[k] for r in rows[:300]], float) for k in (slice(1, 4), 4, 0))
+    for model in (large, load_saved(spark, str(tmp_path / "knn"))):
+        out = model.transform(queries)
+        assert out.columns == [*df.columns, "score", "prediction"]
+        got = out.collect()
+        assert len(got) == queries.count()
+        for r in got:
+            if r.a is None or r.a != r.a:
+                assert r.score == 0
+                continue
+            d = ((x - [r.a, r.b, r.c]) ** 2).sum(axis=1)
+            low = sorted(zip(np.append(d, ((np.ones(3) - [r.a, r.b, r.c]) ** 2).sum()), np.append(ids, np.inf), np.append(y, 1)))[:7]
+            high = sorted(zip(np.append(d, ((np.ones(3) - [r.a, r.b, r.c]) ** 2).sum()), np.append(ids, np.inf), -np.append(y, 1)))[:7]
+            assert np.mean([v for _, _, v in low]) - 1e-9 <= r.score <= -np.mean([v for _, _, v in high]) + 1e-9
+            assert r.prediction == float(r.score > 0.5)
+
+
 def test_cross_validation_leaves_the_callers_cache(spark):
     from attrition.operators import evaluate as EV
     from attrition.operators import models as M
